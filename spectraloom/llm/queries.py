@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, scratch, token_store
+from . import exact_dedup, packing, scratch, simhash, token_store
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -31,5 +31,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, capacity=4096)
 
 
-QUERIES = {"op2_token_store": op2_token_store, "op3_packing": op3_packing}
-ORACLE_SQL: dict[str, str] = {}
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"), shingle=3, distance=3)
+    return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.membership(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_token_store": op2_token_store, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_exact_dedup": op5_exact_dedup}
+ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.SQL}
