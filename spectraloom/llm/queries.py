@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, scratch, simhash, token_store
+from . import chat, exact_dedup, mixing, packing, scratch, simhash, token_store
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -40,5 +40,17 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.membership(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_token_store": op2_token_store, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_exact_dedup": op5_exact_dedup}
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.SQL}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.decisions(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digests(chat.formatted(turns))
+
+
+QUERIES = {"op2_token_store": op2_token_store, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_exact_dedup": op5_exact_dedup, "op8_mixing": op8_mixing, "op9_chat": op9_chat}
+ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL, "op9_chat": chat.SQL}
