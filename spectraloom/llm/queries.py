@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, packing, scratch, simhash, token_store
+from . import chat, exact_dedup, licenses, mixing, packing, scratch, simhash, token_store
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -52,5 +52,9 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(turns))
 
 
-QUERIES = {"op2_token_store": op2_token_store, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_exact_dedup": op5_exact_dedup, "op8_mixing": op8_mixing, "op9_chat": op9_chat}
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL, "op9_chat": chat.SQL}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents")).drop("matches")
+
+
+QUERIES = {"op2_token_store": op2_token_store, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_exact_dedup": op5_exact_dedup, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_licenses": op10_licenses}
+ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL, "op9_chat": chat.SQL, "op10_licenses": licenses.SQL}
