@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, licenses, mixing, packing, scratch, simhash, token_store
+from . import chat, exact_dedup, licenses, mixing, packing, scratch, simhash, token_store, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id"), 5, 0))
+    found = toxicity.scored(docs, model)
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", F.size("passages").alias("n_passages"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.folder(spark)
     token_store.write(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
@@ -56,5 +63,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents")).drop("matches")
 
 
-QUERIES = {"op2_token_store": op2_token_store, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_exact_dedup": op5_exact_dedup, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_licenses": op10_licenses}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_token_store": op2_token_store, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_exact_dedup": op5_exact_dedup, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_licenses": op10_licenses}
 ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL, "op9_chat": chat.SQL, "op10_licenses": licenses.SQL}

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,55 +19,108 @@ class WordTokenizer:
     A text is cut at spaces and line feeds, each distinct word is encoded once by the library and
     remembered, and the ids of a text are those of its words in order. This equals encoding the
     whole text when the pre-tokenizer drops white space; the constructor refuses other files.
-    The memory is emptied at ``memo`` words.
+    A word of letters with closing punctuation is looked up as its lower-case letters and its
+    punctuation, if the file itself lower-cases and parts the two; new letter words go to the library
+    many to a call, and the ids are dealt back by the file's end-of-word suffix. The memory is
+    emptied at ``memo`` words.
     """
 
-    def __init__(self, path: str, memo: int = 1_500_000):
+    #: Scripts whose letters are single code points that NFC keeps and that lower-case one to one.
+    LETTERS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0410-\u044f]+)([.,;:!?]*)")
+
+    def __init__(self, path: str, memo: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        one, two, both = (self.inner.encode(x, add_special_tokens=False).ids for x in ("Ab", "cd.", " Ab \n cd. "))
+        one, two, both = (self._ids([x])[0] for x in ("Ab", "cd.", " Ab \n cd. "))
         if one + two != both:
             raise ValueError(f"{path}: tokens of this file depend on white space")
+        suffix = getattr(self.inner.model, "end_of_word_suffix", None)
+        parts = all(self._ids([x])[0] == sum(self._ids([x[:-2].lower(), x[-2:]]), []) for x in ("Ab.,", "Été;:", "x!?"))
+        self.final = None
+        if suffix and parts:
+            vocabulary = self.inner.get_vocab()
+            self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.final[[i for x, i in vocabulary.items() if x.endswith(suffix)]] = True
         self.memo = memo
         self._clear()
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.inner.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.units: dict[str, int] = {"": 0}  # of words and parts of words
         self.ids = np.empty(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 14, np.int64)  # of the n-th word in ids, and the end of the last
-        self.n = self.used = 0
+        self.start = np.zeros(1 << 14, np.int64)  # of the n-th unit in ids, and the end of the last
+        self.n, self.used = 1, 0
+
+    def _gather(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units end to end, and where each ends, from 0."""
+        begin = self.start[units]
+        lengths = self.start[units + 1] - begin
+        ends = np.zeros(len(units) + 1, np.int64)
+        np.cumsum(lengths, out=ends[1:])
+        pick = np.repeat(begin - ends[:-1], lengths)
+        pick += np.arange(ends[-1])
+        return self.ids[pick], ends
+
+    def _add(self, new: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while self.n + len(new) + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[self.n + 1 : self.n + 1 + len(new)] = self.used + np.cumsum(lengths)
+        self.units.update(zip(new, range(self.n, self.n + len(new)), strict=True))
+        self.n, self.used = self.n + len(new), self.used + len(ids)
+
+    def _encode_units(self, new: list[str], letters: bool) -> None:
+        for at in range(0, len(new), 5_000):
+            part = new[at : at + 5_000]
+            if letters:
+                ids = np.array(self._ids([" ".join(part)])[0], np.uint32)
+                ends = np.flatnonzero(self.final[ids]) + 1
+                if len(ends) == len(part) and ends[-1] == len(ids):
+                    self._add(part, ids, np.diff(ends, prepend=0))
+                    continue
+            own = self._ids(part)
+            lengths = np.fromiter(map(len, own), np.int64, len(own))
+            self._add(part, np.fromiter(chain.from_iterable(own), np.uint32, int(lengths.sum())), lengths)
 
     def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            ids = [x.ids for x in self.inner.encode_batch_fast(part, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            total = int(lengths.sum())
-            while self.used + total > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            while self.n + len(part) + 1 > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.ids[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-            self.start[self.n + 1 : self.n + 1 + len(part)] = self.used + np.cumsum(lengths)
-            self.known.update(zip(part, range(self.n, self.n + len(part)), strict=True))
-            self.n, self.used = self.n + len(part), self.used + total
+        units, match = self.units, self.LETTERS.fullmatch if self.final is not None else lambda _: None
+        letters, others, joined = {}, {}, {}
+        for w in new:
+            if m := match(w):
+                core, rest = m.groups()
+                core = core.lower()
+                if core not in units:
+                    letters[core] = None
+                if core != w:
+                    if rest and rest not in units:
+                        others[rest] = None
+                    joined[w] = core, rest
+            else:
+                others[w] = None
+        self._encode_units(list(letters), True)
+        self._encode_units([x for x in others if x not in units], False)
+        joined = {w: x for w, x in joined.items() if w not in units}
+        if joined:
+            both = np.fromiter((units[x] for pair in joined.values() for x in pair), np.int64, 2 * len(joined))
+            ids, ends = self._gather(both)
+            self._add(list(joined), ids, np.diff(ends[::2]))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets (one more than texts) and the ids of all texts, end to end; null is empty."""
         offsets, flat = words.split(texts)
         distinct = flat.dictionary.to_pylist()
-        if self.n + len(distinct) > self.memo:
+        if len(self.units) + len(distinct) > self.memo:
             self._clear()
-        self._learn([w for w in distinct if w not in self.known])
-        at = np.fromiter((self.known[w] for w in distinct), np.int64, len(distinct))
-        of = at[flat.indices.to_numpy()] if len(at) else np.zeros(0, np.int64)
-        begin = self.start[of]
-        lengths = self.start[of + 1] - begin
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        pick = np.repeat(begin - ends[:-1], lengths) + np.arange(ends[-1])
-        return ends[offsets], self.ids[pick]
+        self._learn([w for w in distinct if w not in self.units])
+        units = np.fromiter((self.units[w] for w in distinct), np.int64, len(distinct))
+        ids, ends = self._gather(units[flat.indices.to_numpy()] if len(units) else units)
+        return ends[offsets], ids
 
 
 def encoded(batches: Iterable[pa.RecordBatch], text: str, path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

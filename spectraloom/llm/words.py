@@ -45,3 +45,35 @@ def split(texts: pa.Array, ascii_space: bool = False) -> tuple[np.ndarray, pa.Di
             offsets = np.concatenate([[0], np.cumsum(~empty)])[offsets]
             flat = flat.filter(pa.array(~empty))
     return offsets, flat.dictionary_encode()
+
+
+def _plain_table() -> np.ndarray:
+    """ASCII letters in lower case and digits as they are, other ASCII to space, other bytes kept."""
+    table = np.arange(256, dtype=np.uint8)
+    for c in range(128):
+        table[c] = ord(chr(c).lower()) if chr(c).isalnum() else 32
+    return table
+
+
+PLAIN = _plain_table()
+
+
+def mapped(texts: pa.Array, table: np.ndarray) -> pa.Array:
+    """Each byte of the texts through a table that keeps UTF-8 valid; null as empty."""
+    texts = pc.fill_null(texts, "")
+    if texts.offset:
+        texts = pa.concat_arrays([texts])
+    _, offsets, data = texts.buffers()
+    if data is None or not len(texts):
+        return texts
+    return type(texts).from_buffers(len(texts), offsets, pa.py_buffer(table[np.frombuffer(data, np.uint8)]), None, 0, 0)
+
+
+def plain_split(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Runs of ASCII letters (in lower case), digits and non-ASCII characters, as ``split`` gives them."""
+    listed = pc.split_pattern(mapped(texts, PLAIN), " ")
+    offsets = listed.offsets.to_numpy().astype(np.int64)
+    flat = listed.flatten()
+    some = pc.greater(pc.binary_length(flat), 0)
+    kept = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    return kept[offsets], flat.filter(some).dictionary_encode()
