@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from . import scratch, words
 
-SAMPLE, VOCABULARY, LEAST_DOCS, PRIOR, DRIFT, LEVEL = 20_000, 65_536, 3, 500.0, 0.5, 0.05
+SAMPLE, VOCABULARY, LEAST_DOCS, PRIOR, DRIFT, LEVEL = 20_000, 65_536, 3, 100.0, 0.5, 0.05
+DEVIATIONS = 2.5  # below the log-odds; many words are tried, so few may pass by chance
 
 
 @dataclass
@@ -170,17 +171,18 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None, sample: int = SAMPLE) ->
     vocabulary = counts.where(F.col("toxic") + F.col("clean") >= LEAST_DOCS).orderBy((F.col("toxic") + F.col("clean")).desc(), "word").limit(VOCABULARY).collect()
     y = np.array([(r["toxic"], r["clean"]) for r in vocabulary], float).reshape(-1, 2)
     n = np.array([sums["toxic"], sums["clean"]], float)
-    prior = PRIOR * y.sum(axis=1) / n.sum()
+    prior = 0.5 + PRIOR * y.sum(axis=1) / n.sum()
     up = y + prior[:, None]
-    odds = np.log(up / (n + PRIOR - up))
-    low = odds[:, 0] - odds[:, 1] - 1.96 * np.sqrt((1 / up).sum(axis=1))
+    whole = n + PRIOR + 0.5 * len(y)
+    odds = np.log(up / (whole - up))
+    low = odds[:, 0] - odds[:, 1] - DEVIATIONS * np.sqrt((1 / up).sum(axis=1))
     scores = np.clip(low - DRIFT, -1.0, None)
     # A positive score needs a word that is toxic far beyond chance among all words that were tried.
     model.scores = {r["word"]: float(s) for r, s in zip(vocabulary, np.where((scores > 0) & (low < 1.0), -DRIFT, scores), strict=True)}
     # The null model: words at their rate in clean documents, and the stems that score above zero.
     atoms = np.array([s > 0 or not w.endswith("~") for w, s in model.scores.items()], bool)
     final = np.fromiter(model.scores.values(), float, len(vocabulary))[atoms]
-    null = (up[:, 1] / (n[1] + PRIOR))[atoms]
+    null = (up[:, 1] / whole[1])[atoms]
     model.rate = _rate(np.append(final, model.other), np.append(null, max(0.0, 1 - null.sum())))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
