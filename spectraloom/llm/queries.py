@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, licenses, mixing, packing, quality, scratch, simhash, token_store, toxicity
+from . import chat, embeddings, exact_dedup, licenses, mixing, packing, quality, scratch, simhash, token_store, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -54,6 +54,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.decisions(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -70,5 +74,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents")).drop("matches")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_token_store": op2_token_store, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_exact_dedup": op5_exact_dedup, "op6_quality": op6_quality, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_licenses": op10_licenses}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_token_store": op2_token_store, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_exact_dedup": op5_exact_dedup, "op6_quality": op6_quality, "op7_embeddings": op7_embeddings, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_licenses": op10_licenses}
 ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL, "op9_chat": chat.SQL, "op10_licenses": licenses.SQL}

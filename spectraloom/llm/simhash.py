@@ -254,3 +254,20 @@ def classes(docs: DataFrame, shingle: int = 3, distance: int = 3, blocks: int =
 
 def hexed(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+#: Near duplicates in a corpus: shingles of five words, and so many differing bits of 64 as a similarity of 0.8 allows
+#: in the fingerprints of copies (see the README for how the number was measured).
+NEAR_SHINGLE, NEAR_BITS = 5, 3
+
+
+def deduplicated(docs: DataFrame, shingle: int = NEAR_SHINGLE, distance: int = NEAR_BITS) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its group of near duplicates, whole and unchanged.
+
+    Rows that share a doc_id stay or go together; rows without one stay.
+    """
+    inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    own = f"c{docs.columns.index('doc_id')}"
+    found = classes(docs, shingle, distance)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return inner.join(gone, F.col(own) == F.col("gone"), "left_anti").toDF(*docs.columns)
