@@ -48,22 +48,33 @@ def _hashes(text: bytes, shingle: int, hashed) -> list[int]:
     return [hashed(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
 
 
-def fingerprints_of(texts: list[bytes], shingle: int = 3) -> np.ndarray:
-    """64-bit fingerprints of texts in UTF-8."""
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th further hash of a shingle, from its XXH64 (the finaliser of SplitMix64 after k steps)."""
+    x = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints_of(texts: list[bytes], shingle: int = 3, more: int = 0) -> np.ndarray:
+    """64-bit fingerprints of texts in UTF-8; with ``more``, a row for each text with so many further ones."""
     from xxhash import xxh64_intdigest
 
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros((len(texts), 1 + more), np.uint64)
     at, held, sizes = [], [], []
+    waiting = 0
 
     def close() -> None:
-        if at:
-            flat = np.concatenate(held)
-            bits = np.unpackbits(flat.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        flat = np.concatenate(held)
+        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        half = np.array(sizes)[:, None]
+        for k in range(1 + more):
+            own = flat if k == 0 else _mixed(flat, k)
+            bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             count = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
-            out[at] = np.packbits(count * 2 > np.array(sizes)[:, None], axis=1, bitorder="little").view("<u8").ravel()
-            for x in (at, held, sizes):
-                x.clear()
+            out[at, k] = np.packbits(count * 2 > half, axis=1, bitorder="little").view("<u8").ravel()
+        for x in (at, held, sizes):
+            x.clear()
 
     for i, text in enumerate(texts):
         found = _hashes(text, shingle, xxh64_intdigest)
@@ -71,25 +82,30 @@ def fingerprints_of(texts: list[bytes], shingle: int = 3) -> np.ndarray:
             at.append(i)
             held.append(np.array(found, np.uint64))
             sizes.append(len(found))
-            if sum(sizes[-64:]) > 50_000 or len(sizes) >= 256:
+            waiting += len(found)
+            if waiting > 100_000:
                 close()
-    close()
-    return out
+                waiting = 0
+    if at:
+        close()
+    return out if more else out[:, 0]
 
 
-def _fingerprints(shingle: int):
+def _fingerprints(shingle: int, more: int = 0):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches, "text"):
             texts = pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints_of(texts, shingle).view(np.int64))], names=["doc_id", "fp"])
+            found = fingerprints_of(texts, shingle, more).view(np.int64).reshape(len(texts), 1 + more)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in found.T)], names=["doc_id", "fp", *(f"fp{k}" for k in range(1, 1 + more))])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) for every row."""
+def fingerprints(docs: DataFrame, shingle: int = 3, more: int = 0) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and ``more`` further ones fp1, fp2 ... for every row."""
     scratch.small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    schema = "doc_id long, fp long" + "".join(f", fp{k} long" for k in range(1, 1 + more))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(shingle, more), schema)
 
 
 def gray_rank(fp):
@@ -189,56 +205,63 @@ def _join(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndar
     return used
 
 
-def _bucket_links(distance: int):
+def _bucket_links(distances: tuple[int, ...]):
+    """Links of each bucket: all in a bucket of up to ``LEAF`` points, else a spanning forest at each distance."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(keys: np.ndarray, points: np.ndarray) -> pa.RecordBatch:
-            """keys: a number for each bucket, ascending; each bucket in Gray order."""
-            begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            size = np.diff(np.append(begin, len(keys)))
-            out = []
-            two = begin[size == 2]
-            near = two[np.bitwise_count(points[two] ^ points[two + 1]) <= distance]
-            out.append((points[near], points[near + 1]))
-            for at, n in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                own = points[at : at + n]
-                x, y = GrayIndex(own).forest(distance)
-                out.append((own[x], own[y]))
-            u, v = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True))
+        def links(begin: np.ndarray, points: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+            """begin: where buckets begin; each is in Gray order."""
+            size = np.diff(np.append(begin, len(points)))
+            out = [(ids[:0], ids[:0])]
+            small = np.repeat(size <= LEAF, size)
+            follow = np.repeat(begin + size, size) - np.arange(len(points)) - 1  # points after this one in its bucket
+            i, shift = np.flatnonzero(small & (follow > 0)), 1
+            while len(i):
+                near = i[np.bitwise_count(points[i] ^ points[i + shift]) <= distances[-1]]
+                out.append((ids[near], ids[near + shift]))
+                shift += 1
+                i = i[follow[i] >= shift]
+            for at, n in zip(begin[size > LEAF].tolist(), size[size > LEAF].tolist(), strict=True):
+                index = GrayIndex(points[at : at + n])
+                for d in distances:
+                    x, y = index.forest(d)
+                    out.append((ids[at + x], ids[at + y]))
+            u, v = (np.concatenate(x) for x in zip(*out, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of the bucket that isn't over
-
-        def numbered(parts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-            choice, masked, points = (np.concatenate(x) for x in zip(*parts, strict=True))
-            new = np.concatenate([[False], (choice[1:] != choice[:-1]) | (masked[1:] != masked[:-1])])
-            return choice, masked, points, np.cumsum(new)
-
+        held: list[list[np.ndarray]] = []  # of the bucket that isn't over
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = tuple(batch.column(x).to_numpy() for x in ("choice", "masked", "fp"))
-            own = (own[0], own[1], own[2].view(np.uint64))
+            own = [batch.column(x).to_numpy() for x in ("choice", "masked", "fp", "id")]
             same = held and held[-1][0][-1] == own[0][-1] and held[-1][1][-1] == own[1][-1]
             held.append(own)
             if same:  # the whole batch goes on with the open bucket
                 continue
-            choice, masked, points, keys = numbered(held)
-            last = int(np.searchsorted(keys, keys[-1]))
-            held = [(choice[last:], masked[last:], points[last:])]
+            choice, masked, points, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            begin = np.flatnonzero(np.concatenate([[True], (choice[1:] != choice[:-1]) | (masked[1:] != masked[:-1])]))
+            last = int(begin[-1])
+            held = [[choice[last:], masked[last:], points[last:], ids[last:]]]
             if last:
-                yield links(keys[:last], points[:last])
+                yield links(begin[:-1], points[:last].view(np.uint64), ids[:last])
         if held:
-            _, _, points, keys = numbered(held)
-            yield links(keys, points)
+            choice, masked, points, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            begin = np.flatnonzero(np.concatenate([[True], (choice[1:] != choice[:-1]) | (masked[1:] != masked[:-1])]))
+            yield links(begin, points.view(np.uint64), ids)
 
     return run
 
 
-def links(distinct: DataFrame, distance: int = 3, blocks: int = 5) -> DataFrame:
-    """u, v: links of a spanning forest over ``distinct`` (fp, each once) at ``distance`` or fewer bits."""
-    dealt = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks(distance, blocks)))).alias("choice", "masked"))
+def bucketed(points: DataFrame, choices: list[int], distances: tuple[int, ...]) -> DataFrame:
+    """u, v: ids of ``points`` (id, fp) that agree on all bits of one of the masks and link there."""
+    dealt = points.select("id", "fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in choices))).alias("choice", "masked"))
     dealt = dealt.withColumn("rank", gray_rank(F.col("fp"))).repartition("choice", "masked").sortWithinPartitions("choice", "masked", "rank")
-    return dealt.select("choice", "masked", "fp").mapInArrow(_bucket_links(distance), "u long, v long")
+    return dealt.select("choice", "masked", "fp", "id").mapInArrow(_bucket_links(distances), "u long, v long")
+
+
+def links(distinct: DataFrame, distance: int = 3, blocks: int = 5) -> DataFrame:
+    """u, v: links that join all of ``distinct`` (fp, each once) within ``distance`` bits, directly or through others."""
+    return bucketed(distinct.select(F.col("fp").alias("id"), "fp"), masks(distance, blocks), (distance,))
 
 
 def classes(docs: DataFrame, shingle: int = 3, distance: int = 3, blocks: int = 5) -> DataFrame:
@@ -256,18 +279,54 @@ def hexed(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-#: Near duplicates in a corpus: shingles of five words, and so many differing bits of 64 as a similarity of 0.8 allows
-#: in the fingerprints of copies (see the README for how the number was measured).
-NEAR_SHINGLE, NEAR_BITS = 5, 3
+#: Near duplicates in a corpus: shingles of five words, similarity 0.8.
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Fingerprints of such copies differ in up to 13 of 64 bits, too many for blocks that must agree: buckets are 96 fixed
+#: random choices of 16 bits, of which copies with 8 differing bits share one nearly always, with 10 in 99 of 100 cases, with 13 in 75.
+CHOICES, CHOSEN, REACH, FURTHER = 96, 16, (4, 7, 10, 13), 4
+
+
+def random_masks(choices: int = CHOICES, chosen: int = CHOSEN, seed: int = 11) -> list[int]:
+    rng = np.random.default_rng(seed)
+    found = [sum(1 << int(b) for b in rng.permutation(64)[:chosen]) for _ in range(choices)]
+    return [m - (1 << 64) if m >> 63 else m for m in found]
+
+
+def bits_at(similarity: float, bits: int = 64 * FURTHER, deviations: float = 1.6) -> int:
+    """Differing bits that 19 of 20 pairs with this Jaccard similarity of shingles stay within."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * share + deviations * np.sqrt(bits * share * (1 - share)))
+
+
+def near_classes(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, component_id of every row, linked at a shingle similarity of about ``similarity`` or more.
+
+    Candidates come from the 64-bit fingerprints by the Gray-order index; a candidate links if 256 further
+    bits agree as well as those of texts that similar. Large buckets give spanning forests at several distances
+    in place of all pairs.
+    """
+    further = [f"fp{k}" for k in range(1, 1 + FURTHER)]
+    prints = scratch.written(fingerprints(docs, shingle, FURTHER).withColumn("id", F.xxhash64("fp", *further)))
+    nodes = scratch.written(prints.groupBy("id", "fp", *further).agg(F.min("doc_id").alias("least")))
+    pairs = bucketed(nodes.select("id", "fp"), random_masks(), REACH)
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    side = lambda x: nodes.select(F.col("id").alias(x), *(F.col(f).alias(f"{x}{f}") for f in further))
+    apart = sum((F.bit_count(F.col(f"u{f}").bitwiseXOR(F.col(f"v{f}"))) for f in further), F.lit(0))
+    near = pairs.join(side("u"), "u").join(side("v"), "v").where(apart <= bits_at(similarity)).select("u", "v")
+    node = components(near)
+    linked = nodes.join(node, nodes.id == node.node, "left").select("id", "least", F.coalesce("component", "id").alias("component"))
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = linked.join(least, "component").select(F.col("id").alias("id_"), "component_id")
+    return prints.select("doc_id", "id").join(of, F.col("id") == F.col("id_")).select("doc_id", "component_id")
 
 
-def deduplicated(docs: DataFrame, shingle: int = NEAR_SHINGLE, distance: int = NEAR_BITS) -> DataFrame:
+def deduplicated(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group of near duplicates, whole and unchanged.
 
     Rows that share a doc_id stay or go together; rows without one stay.
     """
     inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     own = f"c{docs.columns.index('doc_id')}"
-    found = classes(docs, shingle, distance)
+    found = near_classes(docs, shingle, similarity)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
     return inner.join(gone, F.col(own) == F.col("gone"), "left_anti").toDF(*docs.columns)
