@@ -257,19 +257,19 @@ def clean(docs: DataFrame, model: Model, reject: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``reject``, whole and unchanged, in one pass."""
     scratch.small_batches(docs.sparkSession)
     inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    text = f"c{docs.columns.index('text')}"
+    names, text = inner.columns, f"c{docs.columns.index('text')}"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, keep = None, []
         named = (b.rename_columns(["text" if x == text else x for x in b.schema.names]) for b in batches)
         for batch, _, n, found in _found(named, model):
             if last is not None and batch is not last:
-                yield last.filter(pa.array(keep)).rename_columns(inner.columns)
+                yield last.filter(pa.array(keep)).rename_columns(names)
                 keep = []
             last = batch
             keep.append(score(evidence([s for _, _, s in found], n, model)[0], model) < reject)
         if last is not None:
-            yield last.filter(pa.array(keep)).rename_columns(inner.columns)
+            yield last.filter(pa.array(keep)).rename_columns(names)
 
     return inner.mapInArrow(run, inner.schema).toDF(*docs.columns)
 
