@@ -20,3 +20,8 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from . import qc_queries, rollup_queries, stats_queries  # noqa: F401
