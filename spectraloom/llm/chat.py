@@ -55,14 +55,14 @@ def _joined(turns: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """role, text (unescaped) and written (the text as it stands there) of every turn of a rendered conversation."""
+    """role and text, unescaped, and both as they stand there (written_role, written), of every turn of a rendered conversation."""
 
     def turn(x: Column) -> Column:
         body = F.substring(x, F.lit(8), F.length(x) - 15)
         system = F.when(x.startswith("[INST]"), False).when(x.startswith("<s>"), False).otherwise(True)
         own = F.when(x.startswith("[INST] "), body).when(x.startswith("<s>"), F.substring(x, F.lit(4), F.length(x) - 7)).otherwise(F.substring(x, F.instr(x, "\n") + 1, F.length(x) - F.instr(x, "\n") - 8))
         role = F.when(system, F.substring(x, F.lit(8), F.instr(x, "\n") - 8)).when(x.startswith("<s>"), "assistant").otherwise("user")
-        return F.struct(unescape(role).alias("role"), unescape(own).alias("text"), own.alias("written"))
+        return F.struct(unescape(role).alias("role"), unescape(own).alias("text"), own.alias("written"), role.alias("written_role"))
 
     return F.transform(F.regexp_extract_all(formatted, F.lit(TURN), F.lit(0)), turn)
 
@@ -72,7 +72,7 @@ def _same(formatted: Column, turns: Column) -> Column:
     found = parse(formatted)
     whole = F.array_join(F.regexp_extract_all(formatted, F.lit(TURN), F.lit(0)), "") == formatted
     equal = F.transform(found, lambda x: F.struct(x.role, x.text)) == F.transform(turns, lambda x: F.struct(x.role, x.text))
-    clean = ~F.exists(found, lambda x: x.written.rlike(CONTROL))
+    clean = ~F.exists(found, lambda x: F.concat(x.written_role, F.lit(" "), x.written).rlike(CONTROL))
     return whole & equal & clean
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import scratch, words
 
 SAMPLE, VOCABULARY, LEAST_DOCS, PRIOR, DRIFT, LEVEL = 20_000, 65_536, 3, 100.0, 0.5, 0.05
-DEVIATIONS = 2.5  # below the log-odds; many words are tried, so few may pass by chance
+DEVIATIONS = 1.7  # below the log-odds; many words are tried, so few may pass by chance
 
 
 @dataclass
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None, sample: int = SAMPLE) ->
     sums = counts.where(~F.col("word").endswith("~")).agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("toxic", "clean"))).first()
     shares = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     model = Model()
-    share = (shares.get(1, 0) + 0.5) / (sum(shares.values()) + 1)
+    share = (shares.get(1, 0) + 0.5) / (sum(shares.values()) + 5)  # without labels a tenth
     model.curve = (math.log(share / (1 - share)), 0.0)
     if not shares.get(1) or not shares.get(0):
         return model
