@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranges import average_rank
+from ..model import Study, logged
 from .filters import complete_features
 
 #: Samples whose square matrix may be gathered: an eigenproblem of this size takes half a minute and 200 MB.
@@ -137,3 +138,28 @@ def umap(x: DataFrame, layer: str = "value", n_neighbors: int = 15, n_components
         y += 0.5 * (1 - t / epochs) * step
     columns = [f"UMAP_{c + 1}" for c in range(n_components)]
     return spark.createDataFrame([(o, *map(float, y[i])) for i, o in enumerate(names)], "obs_id string, " + ", ".join(f"{c} double" for c in columns))
+
+
+@logged
+def add_corr(study: Study, modality: str, layer: str = "value", method: str = "pearson") -> Study:
+    """Keep the samples' correlation as ``X_corr`` of the assay."""
+    return _with(study, modality, X_corr=corr(study[modality].x, layer, method))
+
+
+@logged
+def add_pca(study: Study, modality: str, layer: str = "value", n_components: int | None = None, key_added: str = "X_pca", **options) -> Study:
+    """Keep scores under ``key_added``, loadings as ``PCs`` and each component's variance as ``{key_added}_variance``."""
+    out = pca(study[modality].x, layer, n_components, **options)
+    rows = [(f"PC_{i + 1}", float(v), float(r)) for i, (v, r) in enumerate(zip(out["variance"], out["variance_ratio"], strict=True))]
+    variance = study.obs.sparkSession.createDataFrame(rows, "component string, variance double, variance_ratio double")
+    return _with(study, modality, **{key_added: out["scores"], "PCs": out["loadings"], f"{key_added}_variance": variance})
+
+
+@logged
+def add_umap(study: Study, modality: str, layer: str = "value", key_added: str = "X_umap", **options) -> Study:
+    return _with(study, modality, **{key_added: umap(study[modality].x, layer, **options)})
+
+
+def _with(study: Study, modality: str, **tables: DataFrame) -> Study:
+    assay = study[modality]
+    return study.with_assay(modality, assay.with_(extra={**assay.extra, **tables}))

@@ -221,3 +221,11 @@ def read_fragpipe(spark: SparkSession, identification_file, label: str, acquisit
 
 def read_maxquant(spark: SparkSession, identification_file, label: str, acquisition: str = "dda", quantification: bool = True) -> Study:
     return MaxquantReader(spark, identification_file, label, acquisition, quantification).read()
+
+
+def read_comet(*args, **kwargs) -> Study:
+    raise NotImplementedError("results of Comet")
+
+
+def read_protdiscov(*args, **kwargs) -> Study:
+    raise NotImplementedError("results of Proteome Discoverer")
