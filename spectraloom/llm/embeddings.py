@@ -221,3 +221,14 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, **options) ->
     linking = F.col("key_").isNotNull()
     component = F.when(linking, F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
+
+
+#: All pairs by brute force, for tables of whole, non-zero vectors.
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a
+), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT c.a AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, c.a = component_id AS kept FROM c LEFT JOIN n USING (a)
+"""

@@ -75,4 +75,4 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_token_store": op2_token_store, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_exact_dedup": op5_exact_dedup, "op6_quality": op6_quality, "op7_embeddings": op7_embeddings, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_licenses": op10_licenses}
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL, "op9_chat": chat.SQL, "op10_licenses": licenses.SQL}
+ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.SQL, "op7_embeddings": embeddings.SQL, "op8_mixing": mixing.SQL, "op9_chat": chat.SQL, "op10_licenses": licenses.SQL}
