@@ -51,10 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = scratch.written(docs)
-    return docs
+    """All stages over ``documents``, each written as Parquet in the shared folder and read again; a stage's table goes once the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        path = scratch.folder(spark)
+        docs = scratch.written(stage(spark, docs, sf_dir), path)
+        if before is not None:
+            scratch.remove(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
