@@ -148,9 +148,11 @@ class GrayIndex:
         ok = (x <= y) & (y < count)
         return x[ok], y[ok]
 
-    def forest(self, distance: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places (in the order given) of links that join every component of points within ``distance``."""
-        label = np.arange(len(self.points))
+    def forest(self, distance: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places (in the order given) of links that join every component of points within ``distance``.
+
+        ``label`` is each point's component so far, by its least place; it is brought up to date.
+        """
         found: list[tuple[np.ndarray, np.ndarray]] = []
         top = len(self.levels) - 1
         stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
@@ -206,25 +208,34 @@ def _join(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndar
 
 
 def _bucket_links(distances: tuple[int, ...]):
-    """Links of each bucket: all in a bucket of up to ``LEAF`` points, else a spanning forest at each distance."""
+    """Links of a spanning forest of each bucket, from the nearest points to the farthest of ``distances``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(begin: np.ndarray, points: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
             """begin: where buckets begin; each is in Gray order."""
             size = np.diff(np.append(begin, len(points)))
             out = [(ids[:0], ids[:0])]
+            # Buckets of up to a leaf are worked off together, each pair of points once.
             small = np.repeat(size <= LEAF, size)
             follow = np.repeat(begin + size, size) - np.arange(len(points)) - 1  # points after this one in its bucket
-            i, shift = np.flatnonzero(small & (follow > 0)), 1
+            near, (i, shift) = [], (np.flatnonzero(small & (follow > 0)), 1)
             while len(i):
-                near = i[np.bitwise_count(points[i] ^ points[i + shift]) <= distances[-1]]
-                out.append((ids[near], ids[near + shift]))
+                d = np.bitwise_count(points[i] ^ points[i + shift])
+                on = d <= distances[-1]
+                near.append((i[on], i[on] + shift, d[on]))
                 shift += 1
                 i = i[follow[i] >= shift]
+            if near:
+                x, y, d = (np.concatenate(v) for v in zip(*near, strict=True))
+                label, least = np.arange(len(points)), -1
+                for most in distances:
+                    on = (d > least) & (d <= most)
+                    out += [(ids[p], ids[q]) for p, q in _join(label, x[on], y[on])]
+                    least = most
             for at, n in zip(begin[size > LEAF].tolist(), size[size > LEAF].tolist(), strict=True):
-                index = GrayIndex(points[at : at + n])
-                for d in distances:
-                    x, y = index.forest(d)
+                index, label = GrayIndex(points[at : at + n]), np.arange(n)
+                for most in distances:
+                    x, y = index.forest(most, label)
                     out.append((ids[at + x], ids[at + y]))
             u, v = (np.concatenate(x) for x in zip(*out, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
@@ -302,8 +313,8 @@ def near_classes(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float
     """doc_id, component_id of every row, linked at a shingle similarity of about ``similarity`` or more.
 
     Candidates come from the 64-bit fingerprints by the Gray-order index; a candidate links if 256 further
-    bits agree as well as those of texts that similar. Large buckets give spanning forests at several distances
-    in place of all pairs.
+    bits agree as well as those of texts that similar. A bucket gives the links of one spanning forest, grown from the
+    nearest points to those ``REACH`` bits apart, in place of all its pairs.
     """
     further = [f"fp{k}" for k in range(1, 1 + FURTHER)]
     prints = scratch.written(fingerprints(docs, shingle, FURTHER).withColumn("id", F.xxhash64("fp", *further)))
