@@ -31,10 +31,9 @@ def components(links: DataFrame) -> DataFrame:
     many neighbours is summed by partial aggregation and joined on a key whose rows Spark can split.
     """
     edges = scratch.written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
-        edges = scratch.written(_star(_star(edges, True), False))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select("v", "v").distinct().toDF("node", "component"))
-        before = now
+    same = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    now, before = same(edges), None
+    while now[0] and now != before:
+        edges, before = scratch.written(_star(_star(edges, True), False)), now
+        now = same(edges)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select("v", "v").distinct().toDF("node", "component"))
