@@ -1,7 +1,7 @@
 """Operator 2: a content-addressed store of token ids.
 
 Each document's ids (its text by the tokenizer, then an end id) are cut into chunks where a rolling
-hash of the last 32 ids has its low bits zero, so equal passages give equal chunks wherever they
+hash of the last 16 ids is below a limit, so equal passages give equal chunks wherever they
 stand. Each distinct chunk is written once under its digest; a document is a recipe, the list of
 its digests. Manifests hold Merkle roots, and reading recomputes digests, roots and checksums.
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import scratch, tokens
 
-LEAST, MASK, MOST = 128, (1 << 8) - 1, 2048
+LEAST, LIMIT, MOST = 128, 256, 2048  # a cut where the hash is below LIMIT of 65,536
 DIGEST = 16
 
 
@@ -51,26 +51,27 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def _gear(ids: np.ndarray) -> np.ndarray:
-    """A fixed pseudo-random 32-bit number for each id (a multiply-and-shift mix)."""
-    x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
+def _gear() -> np.ndarray:
+    """A fixed pseudo-random 16-bit number for each 16-bit value (a multiply-and-shift mix)."""
+    x = (np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.uint16)
+
+
+GEAR = _gear()
 
 
 def rolling(ids: np.ndarray) -> np.ndarray:
-    """At each place the sum of the last 32 ids' numbers, each shifted by its age: five doublings."""
-    h = _gear(ids)
-    for k in (1, 2, 4, 8, 16):
-        older = np.zeros_like(h)
-        older[k:] = h[:-k]
-        h = h + (older << np.uint32(k))
+    """At each place the sum of the last 16 ids' numbers, each shifted by its age: four doublings."""
+    h = GEAR[(ids ^ (ids >> np.uint32(16))) & np.uint32(0xFFFF)]
+    for k in (1, 2, 4, 8):
+        h[k:] += h[:-k] << np.uint16(k)
     return h
 
 
 def cuts(ids: np.ndarray, offsets: np.ndarray) -> Iterator[list[int]]:
     """Ends of the chunks of each document. The window never reaches into the document before, as no
-    chunk is shorter than ``LEAST`` (the last may be), which is more than the window's 32 ids."""
-    marks = np.flatnonzero(rolling(ids) & np.uint32(MASK) == 0) + 1
+    chunk is shorter than ``LEAST`` (the last may be), which is more than the window's 16 ids."""
+    marks = np.flatnonzero(rolling(ids) < LIMIT) + 1
     for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         own = marks[np.searchsorted(marks, begin + LEAST) : np.searchsorted(marks, end)].tolist()
         out, at = [], begin

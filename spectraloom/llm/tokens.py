@@ -13,6 +13,16 @@ import pyarrow as pa
 from . import words
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level BPE writes bytes: printable ones as they are, the others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTES = _byte_letters()
+
+
 class WordTokenizer:
     """``tokenizers`` over whole texts, for files whose tokens never span or keep white space.
 
@@ -20,8 +30,8 @@ class WordTokenizer:
     remembered, and the ids of a text are those of its words in order. This equals encoding the
     whole text when the pre-tokenizer drops white space; the constructor refuses other files.
     A word of letters with closing punctuation is looked up as its lower-case letters and its
-    punctuation, if the file itself lower-cases and parts the two; new letter words go to the library
-    many to a call, and the ids are dealt back by the file's end-of-word suffix. The memory is
+    punctuation, if the file itself lower-cases and parts the two; a lower-case letter word goes straight
+    to the file's BPE model, as its normaliser and pre-tokenizer would leave it as it is. Both are tried on samples first. The memory is
     emptied at ``memo`` words.
     """
 
@@ -36,19 +46,20 @@ class WordTokenizer:
         one, two, both = (self._ids([x])[0] for x in ("Ab", "cd.", " Ab \n cd. "))
         if one + two != both:
             raise ValueError(f"{path}: tokens of this file depend on white space")
-        suffix = getattr(self.inner.model, "end_of_word_suffix", None)
+        samples = ["ab", "straße", "été", "жизнь", "niño", "lantern", "ÿß"]
         parts = all(self._ids([x])[0] == sum(self._ids([x[:-2].lower(), x[-2:]]), []) for x in ("Ab.,", "Été;:", "x!?"))
-        self.final = None
-        if suffix and parts:
-            vocabulary = self.inner.get_vocab()
-            self.final = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.final[[i for x, i in vocabulary.items() if x.endswith(suffix)]] = True
+        self.direct = parts and [self._letters(x) for x in samples] == self._ids(samples)
         self.memo = memo
         self._clear()
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.inner.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self, word: str) -> list[int]:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(BYTES)
+        return [x.id for x in self.inner.model.tokenize(word)]
+
     def _clear(self) -> None:
         self.units: dict[str, int] = {"": 0}  # of words and parts of words
         self.ids = np.empty(1 << 16, np.uint32)
@@ -76,20 +87,14 @@ class WordTokenizer:
         self.n, self.used = self.n + len(new), self.used + len(ids)
 
     def _encode_units(self, new: list[str], letters: bool) -> None:
-        for at in range(0, len(new), 5_000):
-            part = new[at : at + 5_000]
-            if letters:
-                ids = np.array(self._ids([" ".join(part)])[0], np.uint32)
-                ends = np.flatnonzero(self.final[ids]) + 1
-                if len(ends) == len(part) and ends[-1] == len(ids):
-                    self._add(part, ids, np.diff(ends, prepend=0))
-                    continue
-            own = self._ids(part)
+        for at in range(0, len(new), 50_000):
+            part = new[at : at + 50_000]
+            own = [self._letters(x) for x in part] if letters else self._ids(part)
             lengths = np.fromiter(map(len, own), np.int64, len(own))
             self._add(part, np.fromiter(chain.from_iterable(own), np.uint32, int(lengths.sum())), lengths)
 
     def _learn(self, new: list[str]) -> None:
-        units, match = self.units, self.LETTERS.fullmatch if self.final is not None else lambda _: None
+        units, match = self.units, self.LETTERS.fullmatch if self.direct else lambda _: None
         letters, others, joined = {}, {}, {}
         for w in new:
             if m := match(w):
@@ -111,15 +116,21 @@ class WordTokenizer:
             ids, ends = self._gather(both)
             self._add(list(joined), ids, np.diff(ends[::2]))
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Offsets (one more than texts) and the ids of all texts, end to end; null is empty."""
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets (one more than texts) and the ids of all texts, end to end, each with ``end_id`` after it; null is empty."""
         offsets, flat = words.split(texts)
         distinct = flat.dictionary.to_pylist()
         if len(self.units) + len(distinct) > self.memo:
             self._clear()
         self._learn([w for w in distinct if w not in self.units])
         units = np.fromiter((self.units[w] for w in distinct), np.int64, len(distinct))
-        ids, ends = self._gather(units[flat.indices.to_numpy()] if len(units) else units)
+        units = units[flat.indices.to_numpy()] if len(units) else units
+        if end_id is not None:
+            if (mark := f" {end_id}") not in self.units:  # no word has a space
+                self._add([mark], np.array([end_id], np.uint32), np.ones(1, np.int64))
+            units = np.insert(units, offsets[1:], self.units[mark])
+            offsets = offsets + np.arange(len(offsets))
+        ids, ends = self._gather(units)
         return ends[offsets], ids
 
 
@@ -127,12 +138,4 @@ def encoded(batches: Iterable[pa.RecordBatch], text: str, path: str, end_id: int
     """Slices of the batches with the offsets and ids of their texts, ``end_id`` after each text."""
     tokenizer = WordTokenizer(path)
     for batch in words.slices(batches, text):
-        offsets, ids = tokenizer.encode(batch.column(text))
-        n = batch.num_rows
-        out = np.empty(len(ids) + n, np.uint32)
-        ends = offsets[1:] + np.arange(n)
-        keep = np.ones(len(out), bool)
-        keep[ends] = False
-        out[ends] = end_id
-        out[keep] = ids
-        yield batch, offsets + np.arange(n + 1), out
+        yield batch, *tokenizer.encode(batch.column(text), end_id)
