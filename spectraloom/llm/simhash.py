@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch, words
+from . import jaccard, scratch, words
 from .components import components
 
 SEED = 42
@@ -292,9 +292,8 @@ def hexed(fp):
 
 #: Near duplicates in a corpus: shingles of five words, similarity 0.8.
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints of such copies differ in up to 13 of 64 bits, too many for blocks that must agree: buckets are 96 fixed
-#: random choices of 16 bits, of which copies with 8 differing bits share one nearly always, with 10 in 99 of 100 cases, with 13 in 75.
-CHOICES, CHOSEN, REACH, FURTHER = 96, 16, (4, 7, 10, 13), 4
+#: Masks of random bits, for buckets of farther fingerprints than blocks can bound.
+CHOICES, CHOSEN = 96, 16
 
 
 def random_masks(choices: int = CHOICES, chosen: int = CHOSEN, seed: int = 11) -> list[int]:
@@ -303,32 +302,12 @@ def random_masks(choices: int = CHOICES, chosen: int = CHOSEN, seed: int = 11) -
     return [m - (1 << 64) if m >> 63 else m for m in found]
 
 
-def bits_at(similarity: float, bits: int = 64 * FURTHER, deviations: float = 1.6) -> int:
-    """Differing bits that 19 of 20 pairs with this Jaccard similarity of shingles stay within."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * share + deviations * np.sqrt(bits * share * (1 - share)))
-
-
 def near_classes(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, component_id of every row, linked at a shingle similarity of about ``similarity`` or more.
+    """doc_id, component_id of every row, linked where the Jaccard similarity of the shingle sets is ``similarity`` or more.
 
-    Candidates come from the 64-bit fingerprints by the Gray-order index; a candidate links if 256 further
-    bits agree as well as those of texts that similar. A bucket gives the links of one spanning forest, grown from the
-    nearest points to those ``REACH`` bits apart, in place of all its pairs.
+    Copies at 0.8 differ in too many of 64 bits for fingerprints to find them all, so the shingle sets are joined exactly.
     """
-    further = [f"fp{k}" for k in range(1, 1 + FURTHER)]
-    prints = scratch.written(fingerprints(docs, shingle, FURTHER).withColumn("id", F.xxhash64("fp", *further)))
-    nodes = scratch.written(prints.groupBy("id", "fp", *further).agg(F.min("doc_id").alias("least")))
-    pairs = bucketed(nodes.select("id", "fp"), random_masks(), REACH)
-    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    side = lambda x: nodes.select(F.col("id").alias(x), *(F.col(f).alias(f"{x}{f}") for f in further))
-    apart = sum((F.bit_count(F.col(f"u{f}").bitwiseXOR(F.col(f"v{f}"))) for f in further), F.lit(0))
-    near = pairs.join(side("u"), "u").join(side("v"), "v").where(apart <= bits_at(similarity)).select("u", "v")
-    node = components(near)
-    linked = nodes.join(node, nodes.id == node.node, "left").select("id", "least", F.coalesce("component", "id").alias("component"))
-    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = linked.join(least, "component").select(F.col("id").alias("id_"), "component_id")
-    return prints.select("doc_id", "id").join(of, F.col("id") == F.col("id_")).select("doc_id", "component_id")
+    return jaccard.classes(docs, shingle, similarity, _hashes)
 
 
 def deduplicated(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
