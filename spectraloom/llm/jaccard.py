@@ -10,8 +10,8 @@ left is compared exactly by whole sets. None of the filters loses a link.
 Buckets are worked off twice. First each text is compared with the next in size, which joins most of a cluster at a cost
 linear in it. Then all pairs are tried whose texts are not yet in one component; others can add nothing.
 
-Scale: the sets are written once (8 bytes a shingle); about a fifth of the shingles move with 12 further bytes, then only those
-that several texts share. Whole sets move for texts that share a shingle of the prefix. A cluster costs its size, but texts
+Scale: the sets are written once (8 bytes a shingle, about 1.2 x the texts); about a fifth of the shingles move with 12 further bytes, then only those
+that several texts share. Whole sets move for texts of a pair that no filter rules out. A cluster costs its size, but texts
 that are nearly as alike as ``similarity``, and are not linked by others, are compared pair by pair.
 
 Cases: equal sets are one node; texts without words have the empty set, so all of them are one node.
@@ -51,7 +51,9 @@ def _sets(shingle: int, hashes: Callable):
             texts = pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist()
             sets = [np.unique(np.array(hashes(t, shingle, xxh64_intdigest), "<u8")).tobytes() for t in texts]
             ids = np.array([xxh64_intdigest(s) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids), pa.array(sets, pa.binary())], names=["doc_id", "id", "set"])
+            sets = pa.array(sets, pa.binary())
+            size = pc.binary_length(sets).to_numpy().astype(np.int32) // 8
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids), sets, pa.array(size), *(pa.array(np.ascontiguousarray(x)) for x in marks(sets).T)], names=["doc_id", "id", "set", "n", *MARKS])
 
     return run
 
@@ -145,13 +147,6 @@ def marks(sets: pa.Array) -> np.ndarray:
     return np.packbits((count & 1).astype(np.uint8), axis=1, bitorder="little").view("<i8")
 
 
-def _marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = batch.column("set")
-        size = pc.binary_length(sets).to_numpy(zero_copy_only=False).astype(np.int32) // 8
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size), *(pa.array(np.ascontiguousarray(x)) for x in marks(sets).T)], names=["id", "n", *MARKS])
-
-
 def _candidates(similarity: float, apart: bool):
     """u, v of each bucket that no filter rules out: texts that follow each other, or with ``apart`` all pairs of two components."""
 
@@ -208,26 +203,25 @@ def _alike(similarity: float):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose ``sets`` (id, set; each id once) are alike."""
-    a, b = (sets.select(F.col("id").alias(x), F.col("set").alias(y)) for x, y in (("u", "a"), ("v", "b")))
+    """The pairs (u, v) of ``sets`` (id, set) that are alike; only the sets of ``pairs`` move."""
+    pairs = scratch.written(pairs)
+    ids = scratch.written(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+    small = ids.count() <= MOST_BROADCAST
+    own = sets.select("id", "set").join(F.broadcast(ids) if small else ids, "id", "left_semi").groupBy("id").agg(F.first("set").alias("set"))
+    a, b = (own.select(F.col("id").alias(x), F.col("set").alias(y)) for x, y in (("u", "a"), ("v", "b")))
     return pairs.join(a, "u").join(b, "v").mapInArrow(_alike(similarity), "u long, v long")
 
 
 def linked(sets: DataFrame, similarity: float) -> DataFrame:
-    """node, component of the ids of ``sets`` (id, set) that link with others."""
+    """node, component of the ids of ``sets`` (id, set, n and MARKS) that link with others."""
     prefix = sets.select("id", "set").mapInArrow(_prefixes(similarity, frequent(sets)), "hash long, id long, place int")
     shared = scratch.written(prefix.repartition("hash").sortWithinPartitions("hash", "id").mapInArrow(_shared, "hash long, id long, place int"))
-    ids = scratch.written(shared.select("id").distinct())
-    small = ids.count() <= MOST_BROADCAST
-    wanted = sets.select("id", "set").join(F.broadcast(ids) if small else ids, "id", "left_semi").groupBy("id").agg(F.first("set").alias("set"))
-    wanted = scratch.written(wanted)
-    marked = wanted.mapInArrow(_marked, "id long, n int, " + ", ".join(f"{b} long" for b in MARKS))
-    points = scratch.written(shared.join(marked, "id"))
+    points = scratch.written(shared.join(sets.select("id", "n", *MARKS).distinct(), "id"))
 
     def links(rows: DataFrame, order: tuple[str, ...], apart: bool) -> DataFrame:
         dealt = rows.repartition("hash").sortWithinPartitions("hash", *order)
         pairs = dealt.mapInArrow(_candidates(similarity, apart), "u long, v long").distinct()
-        return scratch.written(verified(pairs, wanted, similarity))
+        return scratch.written(verified(pairs, sets, similarity))
 
     before = scratch.written(components(links(points.withColumn("component", F.col("id")), ("n", "id"), False)))
     rows = points.join(before, F.col("id") == F.col("node"), "left").select(*points.columns, F.coalesce("component", "id").alias("component"))
@@ -238,7 +232,7 @@ def linked(sets: DataFrame, similarity: float) -> DataFrame:
 def classes(docs: DataFrame, shingle: int, similarity: float, hashes: Callable) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable through links) of every row; ``hashes`` gives a text's shingles."""
     scratch.small_batches(docs.sparkSession)
-    sets = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sets(shingle, hashes), "doc_id long, id long, set binary")
+    sets = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sets(shingle, hashes), "doc_id long, id long, set binary, n int, " + ", ".join(f"{b} long" for b in MARKS))
     sets = scratch.written(sets)
     node = linked(sets, similarity)
     nodes = sets.groupBy("id").agg(F.min("doc_id").alias("least"))

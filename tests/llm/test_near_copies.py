@@ -40,3 +40,9 @@ def test_pages_with_a_common_passage_stay(spark):
     texts = pages(60, 0.8, 1, 1)
     kept = {r.doc_id for r in simhash.deduplicated(make(spark, texts)).collect()}
     assert kept == set(range(60))
+
+
+def test_no_copy_is_lost_beside_a_common_passage(spark):
+    texts = pages(150, 0.3, 5, 2)
+    got = groups(spark, texts)
+    assert all(got[150 + i] == got[i] == i for i in range(150))
