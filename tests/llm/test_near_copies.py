@@ -46,3 +46,12 @@ def test_no_copy_is_lost_beside_a_common_passage(spark):
     texts = pages(150, 0.3, 5, 2)
     got = groups(spark, texts)
     assert all(got[150 + i] == got[i] == i for i in range(150))
+
+
+def test_components_against_all_pairs(spark):
+    texts = [t for k, edits in enumerate((3, 6, 8, 9, 10)) for t in pages(25, 0.2, edits, 10 + k, 400)] + pages(40, 0.5, 1, 20, 30) + pages(40, 0.9, 2, 21, 60) + [None, "", "one", "ONE", "one two"]
+    pairs = alike(texts)
+    sets = [shingles(t) for t in texts]
+    at = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in pairs if sets[i]]
+    assert sum(0.8 <= x <= 0.9 for x in at) > 50
+    assert groups(spark, texts) == least_reachable(range(len(texts)), pairs)
