@@ -9,6 +9,10 @@ filter); a block needs as many distinct words as the threshold asks (length filt
 after the first common one must suffice on both sides (positional filter). What is left is compared
 exactly. A block that meets a template adds its label.
 
+Notices are often wrapped: sentences that go on over line ends, up to a line without words, are blocks too. They
+go through the same filters, but the words in common must stand in a window as long as the template, so that long
+passages don't meet one by words from here and there.
+
 Scale: two passes over the texts without Python or text shuffles: one counts the documents of each
 template word (as many rows as the templates have words), one keeps, for the few documents that could
 meet a template, the template words of their blocks. Only those rows move. Templates, and so all that is
@@ -64,6 +68,13 @@ def _blocks(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"([.!?])[ \t]+", "$1\n"), "\n")
 
 
+def _wrapped(text: Column) -> Column:
+    """Sentences over several lines of a paragraph, as words with one space before and after each."""
+    paragraphs = F.split(text, r"\n[\x00-\x2F\x3A-\x60\x7B-\x7F]*\n")
+    sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(p, r"(?<=[.!?])[ \t\r\n]+")))
+    return F.transform(F.filter(sentences, lambda b: F.contains(b, F.lit("\n"))), spaced)
+
+
 def _table(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """A small table of constants inside the plan."""
     whole = F.array(*(F.struct(*((v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in row.items())) for row in rows))
@@ -99,7 +110,10 @@ def scanned(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: tuple
     first = F.array_min(F.array(*(F.when(found[p], _spaces(F.substring("line", F.lit(1), F.instr("line", f" {p} "))) - 1) for p in phrases)))
     turned = F.reverse("line")
     last = F.array_max(F.array(*(F.when(found[p], _count(F.col("line")) - (_spaces(F.substring(turned, F.lit(1), F.instr(turned, f" {p[::-1]} "))) - 1) - len(p.split())) for p in phrases)))
-    blocks = F.filter(F.transform(_blocks(F.col("text")), lambda b: F.array_intersect(F.split(spaced(b), " "), vocabulary)), lambda b: F.size(b) >= min(needed))
+    known_of = lambda line: F.array_intersect(F.split(line, " "), vocabulary)
+    lines = F.transform(_blocks(F.col("text")), lambda b: F.struct(known_of(spaced(b)).alias("words"), F.lit(None).cast("string").alias("wrapped")))
+    wrapped = F.transform(_wrapped(F.col("text")), lambda b: F.struct(known_of(b).alias("words"), b.alias("wrapped")))
+    blocks = F.filter(F.concat(lines, wrapped), lambda b: F.size(b.words) >= min(needed))
     facts = lined.select(
         "doc_id",
         _count(F.col("line")).alias("n_words"),
@@ -115,14 +129,17 @@ def scanned(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: tuple
 
     # The join: words of blocks against the inverted index of template prefixes.
     ranks = F.create_map(*(F.lit(x) for w in known for x in (w, rank[w])))
-    block = facts.where(F.size("blocks") > 0).select("row", F.posexplode("blocks").alias("block", "words"))
+    block = facts.where(F.size("blocks") > 0).select("row", F.posexplode("blocks").alias("block", "of")).select("row", "block", "of.words", "of.wrapped")
     block = block.withColumn("words", F.transform(F.array_sort(F.transform("words", lambda w: F.struct(F.element_at(ranks, w).alias("rank"), w.alias("word")))), lambda x: x.word))
-    probes = block.select("row", "block", "words", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
+    probes = block.select("row", "block", "words", "wrapped", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
     index = _table(spark, [{"word": w, "template": t, "place": at} for t, p in enumerate(prefix) for at, w in enumerate(p)])
-    notes = _table(spark, [{"template": t, "label": sets[t][0], "whole": F.array(*map(F.lit, ordered[t])), "needed": needed[t]} for t in range(len(sets))])
+    notes = _table(spark, [{"template": t, "label": sets[t][0], "whole": F.array(*map(F.lit, ordered[t])), "needed": needed[t], "length": len(templates[t][1].split())} for t in range(len(sets))])
     pairs = probes.join(F.broadcast(index), "word").join(F.broadcast(notes), "template")
     pairs = pairs.where((F.col("n") >= F.col("needed")) & (F.least(F.size("whole") - F.col("place"), F.col("n") - F.col("at")) >= F.col("needed")))
-    common = F.size(F.array_intersect("words", "whole"))
+    pairs = pairs.where(F.size(F.array_intersect("words", "whole")) >= F.col("needed"))
+    text = F.split(F.trim("wrapped"), " ")
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size(text) - F.col("length") + 1, F.lit(1))), lambda i: F.size(F.array_intersect(F.slice(text, i, F.col("length")), F.col("whole"))))
+    common = F.when(F.col("wrapped").isNull(), F.size(F.array_intersect("words", "whole"))).otherwise(F.array_max(windows))
     met = pairs.where(common >= F.col("needed")).select("row", "block", "label", (common / F.size("whole")).alias("share"))
     met = met.groupBy("row", "block", "label").agg(F.max("share").alias("share")).groupBy("row").agg(F.collect_list(F.struct("block", "label", "share")).alias("matches"))
     met = met.withColumnRenamed("row", "row_")
