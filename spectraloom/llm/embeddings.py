@@ -17,8 +17,9 @@ hold about N / 65,536 x 17 vectors, so the pair tests grow with N squared over t
 million distinct vectors use longer substrings (``tables=2``). A cluster of m distinct near copies has m (m - 1) / 2
 links, all of which are verified.
 
-Cases: null, zero-norm or empty vectors, and those with null or non-finite components or with another length
-than the most common, link with nothing and are components of their own; null vec_ids stay
+Vectors of each length are a search of their own, with its own rotation; lengths run one after another.
+
+Cases: null, zero-norm or empty vectors, and those with null or non-finite components, link with nothing and are components of their own; null vec_ids stay
 (their component has the smallest id reachable, or null); rows that repeat a vec_id are vectors of their own; an
 empty table gives no rows; other columns are not read.
 """
@@ -72,6 +73,8 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def rotation(x: np.ndarray, bits: int, rounds: int = 50, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Mean and projection (dims x bits) whose signs are the codes."""
     mean = x.mean(axis=0)
+    if len(x) < 2:  # no pairs, so any axes will do
+        return mean, np.eye(x.shape[1])[:, :bits]
     _, axes = np.linalg.eigh(np.cov(x - mean, rowvar=False).reshape(x.shape[1], x.shape[1]))
     axes = axes[:, ::-1][:, :bits]
     v = (x - mean) @ axes
@@ -173,13 +176,17 @@ def linked(rows: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE,
     scratch.small_batches(spark)
     vectors = rows.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_rows, "vec_id long, key binary, dim int, vector binary")
     vectors = scratch.written(vectors)
-    most = vectors.where("key is not null").groupBy("dim").count().orderBy(F.col("count").desc(), "dim").first()
-    dim = most.dim if most else 0
-    fit_in = F.when(F.col("dim") == dim, F.col("key"))
-    classes = vectors.where(fit_in.isNotNull()).groupBy("key").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("vector").alias("vector"))
+    classes = vectors.where("key is not null").groupBy("key", "dim").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("vector").alias("vector"))
     classes = scratch.written(classes.withColumn("cls", F.monotonically_increasing_id()))
-    if not dim:
-        return vectors.withColumn("key", fit_in), classes.select("cls", "key", "copies", "least"), spark.createDataFrame([], "u long, v long, cosine double")
+    dims = [r.dim for r in classes.groupBy("dim").count().where("count > 1").orderBy("dim").collect()]  # one vector alone has no pairs
+    links = spark.createDataFrame([], "u long, v long, cosine double")
+    for dim in dims:
+        links = links.unionByName(_links_of(classes.where(F.col("dim") == dim), dim, threshold, sample, reach, tables))
+    return vectors, classes.select("cls", "key", "copies", "least"), scratch.written(links) if dims else links
+
+
+def _links_of(classes: DataFrame, dim: int, threshold: float, sample: int, reach: int, tables: int) -> DataFrame:
+    """Links (u, v, cosine) of classes whose vectors have ``dim`` components."""
     bits = min(64, dim)
     chosen = classes.select("vector").orderBy(F.xxhash64("key"), "key").limit(sample).toArrow()
     mean, axes = rotation(np.frombuffer(b"".join(chosen.column("vector").to_pylist()), "<f8").reshape(-1, dim), bits)
@@ -201,8 +208,7 @@ def linked(rows: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE,
     pairs = dealt.repartition("table", "key").sortWithinPartitions("table", "key").mapInArrow(_pairs(bits, tables, reach), "u long, v long")
     a = classes.select(F.col("cls").alias("u"), F.col("vector").alias("a"))
     b = classes.select(F.col("cls").alias("v"), F.col("vector").alias("b"))
-    links = pairs.join(a, "u").join(b, "v").mapInArrow(_verified(threshold), "u long, v long, cosine double")
-    return vectors.withColumn("key", fit_in), classes.select("cls", "key", "copies", "least"), scratch.written(links)
+    return pairs.join(a, "u").join(b, "v").mapInArrow(_verified(threshold), "u long, v long, cosine double")
 
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
