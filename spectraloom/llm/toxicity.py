@@ -8,15 +8,19 @@ passages without toxic words score below zero. A linear scan finds all maximal s
 text. Under the clean model, segments of score S or more come about K n exp(-lambda S) times in n words
 (Karlin and Altschul); lambda follows from the word scores, K from the clean training documents. Segments
 whose expected number is below ``level`` are significant; a document's evidence is the Poisson sum
-statistic of those, and a logistic curve fitted on the training documents turns it into a score.
+statistic of those, and a logistic curve fitted on the training documents turns it into a score. The curve is
+the minimum of a convex loss, found by steps that only go down; ``clean`` refuses a model that misses
+half or more of the toxic documents it learned from, as it would let everything pass.
 
 Scale: at most ``sample`` labelled rows are learned from (chosen by a hash of the id), so what is
-joined by broadcast and gathered from them is bounded, as is the vocabulary. Scoring is one pass without a
+joined by broadcast and gathered from them is bounded. Log-odds are computed in the table of counts; only tokens that score above
+the least score, which all others have, come to the driver. Scoring is one pass without a
 shuffle; a task holds about 16 MB of text.
 
 Cases: null and empty texts score as documents without evidence; null labels and null ids are not
 learned from; a label repeated for a document counts each time; without toxic or without clean
-labels every score is that class share; an empty table gives no rows; only doc_id and text are read.
+labels every score is that class share; an empty table gives no rows; only doc_id and text are read;
+``clean`` keeps rows alike in everything or none of them, and other columns under any names.
 """
 
 from __future__ import annotations
@@ -33,25 +37,29 @@ from pyspark.sql import functions as F
 
 from . import scratch, words
 
-SAMPLE, VOCABULARY, LEAST_DOCS, PRIOR, DRIFT, LEVEL = 20_000, 65_536, 3, 100.0, 0.5, 0.05
+SAMPLE, LEAST_DOCS, PRIOR, DRIFT, LEVEL = 20_000, 3, 100.0, 0.5, 0.05
+LEAST_SCORE = -1.0
+TRUSTED = 50
 DEVIATIONS = 1.7  # below the log-odds; many words are tried, so few may pass by chance
 
 
 @dataclass
 class Model:
     scores: dict[str, float] = field(default_factory=dict)
-    other: float = -1.0  # of words outside the vocabulary
+    other: float = LEAST_SCORE  # of all other words
     rate: float = 1.0  # lambda
     k: float = 0.1
     curve: tuple[float, float] = (0.0, 0.0)
     level: float = LEVEL
+    learned: tuple[int, int] = (0, 0)  # toxic documents learned from, and how many of them score one half or more
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) of a text, in linear time (Ruzzo and Tompa).
 
     Only places with a positive score can begin or end one, so only those are visited; what lies
-    between them is in the running sum.
+    between them is in the running sum. Each held segment knows the last one before it that begins at
+    a smaller sum, so segments that a search has passed over are not looked at again.
     """
     places = np.flatnonzero(scores > 0)
     if not len(places):
@@ -59,19 +67,19 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     total = np.cumsum(scores)
     after = total[places].tolist()
     before = (total[places] - scores[places]).tolist()
-    held: list[list] = []  # start, end, sum before, sum after
+    held: list[tuple] = []  # start, end, sum before, sum after, place of the last one that begins lower
     for at, low, high in zip(places.tolist(), before, after, strict=True):
-        new = [at, at + 1, low, high]
+        start = at
         while True:
             j = len(held) - 1
-            while j >= 0 and held[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or held[j][3] >= new[3]:
+            while j >= 0 and held[j][2] >= low:
+                j = held[j][4]
+            if j < 0 or held[j][3] >= high:
                 break
-            new = [held[j][0], new[1], held[j][2], new[3]]
+            start, low = held[j][0], held[j][2]
             del held[j:]
-        held.append(new)
-    return [(a, b, high - low) for a, b, low, high in held]
+        held.append((start, at + 1, low, high, j))
+    return [(a, b, high - low) for a, b, low, high, _ in held]
 
 
 def evidence(found: list[float], n: int, model: Model) -> tuple[float, int]:
@@ -168,22 +176,23 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None, sample: int = SAMPLE) ->
     model.curve = (math.log(share / (1 - share)), 0.0)
     if not shares.get(1) or not shares.get(0):
         return model
-    vocabulary = counts.where(F.col("toxic") + F.col("clean") >= LEAST_DOCS).orderBy((F.col("toxic") + F.col("clean")).desc(), "word").limit(VOCABULARY).collect()
-    y = np.array([(r["toxic"], r["clean"]) for r in vocabulary], float).reshape(-1, 2)
+    # Of the tokens that enough documents hold, those above the least score; which are as many as the sample's texts bear out.
+    vocabulary = counts.where(F.col("toxic") + F.col("clean") >= LEAST_DOCS)
     n = np.array([sums["toxic"], sums["clean"]], float)
-    prior = 0.5 + PRIOR * y.sum(axis=1) / n.sum()
-    up = y + prior[:, None]
-    whole = n + PRIOR + 0.5 * len(y)
-    odds = np.log(up / (whole - up))
-    low = odds[:, 0] - odds[:, 1] - DEVIATIONS * np.sqrt((1 / up).sum(axis=1))
-    scores = np.clip(low - DRIFT, -1.0, None)
+    whole = n + PRIOR + 0.5 * vocabulary.count()
+    prior = F.lit(0.5) + (F.col("toxic") + F.col("clean")) * F.lit(PRIOR / float(n.sum()))
+    up = vocabulary.select("word", (F.col("toxic") + prior).alias("t"), (F.col("clean") + prior).alias("c"))
+    odds = F.log(F.col("t") / (whole[0] - F.col("t"))) - F.log(F.col("c") / (whole[1] - F.col("c")))
+    low = odds - DEVIATIONS * F.sqrt(1 / F.col("t") + 1 / F.col("c"))
+    above = up.select("word", "c", low.alias("low")).where(F.col("low") - DRIFT > LEAST_SCORE).orderBy("word").collect()
+    low = np.array([r["low"] for r in above], float)
     # A positive score needs a word that is toxic far beyond chance among all words that were tried.
-    model.scores = {r["word"]: float(s) for r, s in zip(vocabulary, np.where((scores > 0) & (low < 1.0), -DRIFT, scores), strict=True)}
-    # The null model: words at their rate in clean documents, and the stems that score above zero.
+    final = np.where((low > DRIFT) & (low < 1.0), -DRIFT, low - DRIFT)
+    model.scores = {r["word"]: float(s) for r, s in zip(above, final, strict=True)}
+    # The null model: words at their rate in clean documents, and the stems that score above zero; all others have the least score.
     atoms = np.array([s > 0 or not w.endswith("~") for w, s in model.scores.items()], bool)
-    final = np.fromiter(model.scores.values(), float, len(vocabulary))[atoms]
-    null = (up[:, 1] / whole[1])[atoms]
-    model.rate = _rate(np.append(final, model.other), np.append(null, max(0.0, 1 - null.sum())))
+    null = np.array([r["c"] for r in above], float)[atoms] / whole[1]
+    model.rate = _rate(np.append(final[atoms], model.other), np.append(null, max(0.0, 1 - null.sum())))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, size, found in _found(batches, model):
@@ -196,7 +205,9 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None, sample: int = SAMPLE) ->
     floor = min(every, default=1.0)
     model.k = min(1.0, max(0.5, len(every)) * math.exp(model.rate * floor) / total)
     x = np.array([_feature(evidence(r["scores"], r["n"], model)[0]) for r in seen])
-    model.curve = _logistic(x, np.array([r["toxic"] for r in seen], float))
+    y = np.array([r["toxic"] for r in seen], float)
+    model.curve = _logistic(x, y)
+    model.learned = int(y.sum()), int((y * (model.curve[0] + model.curve[1] * x >= 0)).sum())
     return model
 
 
@@ -216,16 +227,25 @@ def _rate(scores: np.ndarray, weights: np.ndarray) -> float:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """Intercept and slope (none below zero) by Newton's method."""
+    """Intercept and slope (none below zero) of least penalised loss, by Newton steps halved until the loss falls."""
     d = np.stack([np.ones_like(x), x], axis=1)
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + ridge * np.eye(2), d.T @ (y - p) - ridge * w)
-        w = w + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(w[0]), float(max(w[1], 0.0))
+
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, d @ w).sum() - y @ (d @ w) + ridge / 2 * w @ w)
+
+    w, now = np.zeros(2), loss(np.zeros(2))
+    for _ in range(500):
+        p = 1 / (1 + np.exp(-np.clip(d @ w, -700, 700)))
+        down = d.T @ (y - p) - ridge * w
+        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + ridge * np.eye(2), down)
+        if down @ step < 1e-9 * max(1.0, now):  # what a whole step could still gain
+            return float(w[0]), float(max(w[1], 0.0))
+        size = 1.0
+        while size > 1e-9 and loss(w + size * step) > now - 1e-4 * size * (down @ step):
+            size /= 2
+        w = w + size * step
+        now = loss(w)
+    raise ArithmeticError("the logistic curve didn't converge")
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -254,7 +274,13 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: Model, reject: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``reject``, whole and unchanged, in one pass."""
+    """The rows of ``docs`` that score below ``reject``, whole and unchanged, in one pass.
+
+    A model that learned from ``TRUSTED`` toxic documents or more and finds less than half of them is refused.
+    """
+    toxic, caught = model.learned
+    if toxic >= TRUSTED and 2 * caught < toxic:
+        raise ValueError(f"the model finds {caught} of the {toxic} toxic documents it learned from; it would let toxic documents pass")
     scratch.small_batches(docs.sparkSession)
     inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     names, text = inner.columns, f"c{docs.columns.index('text')}"
