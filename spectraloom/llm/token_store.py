@@ -3,22 +3,26 @@
 Each document's ids (its text by the tokenizer, then an end id) are cut into chunks where a rolling
 hash of the last 16 ids is below a limit, so equal passages give equal chunks wherever they
 stand. Each distinct chunk is written once under its digest; a document is a recipe, the list of
-its digests. Manifests hold Merkle roots, and reading recomputes digests, roots and checksums.
+its digests. A document's root is a Merkle tree over its digests, a part's root one over its documents'
+roots and lengths, the store's root one over its parts'. Reading computes digests, roots, counts and
+checksums again and fails on the first that differs: a chunk, recipe, part or manifest row that is damaged or missing.
 
 Layout under ``path`` (Parquet through Spark's writers, any file system)::
 
     objects/kind=chunk    digest, ids (little-endian, 2 bytes an id where the vocabulary allows, else 4)
     objects/kind=recipe   the recipes as first written
-    recipes               part, row, doc_id, start (in its part), n_tokens, digests, root; ascending doc_id
-    manifest              part, base (ids in earlier parts), n_docs, n_tokens, root over its documents
+    recipes/kind=recipe   part, row, doc_id, start (in its part), n_tokens, digests, root; ascending doc_id
+    recipes/kind=part     part, row (documents), n_tokens, root
+    manifest              part, base (ids in earlier parts), n_docs, n_tokens, root; part -1 is the store
 
 Scale: texts never move; distinct chunks move once, recipes (16 bytes a chunk) twice. Copies are
 dropped in the task that meets them and by partial aggregation before the shuffle, so a hot group
-of copies sends a chunk once per task. Reading joins recipes with 28 bytes a chunk, not with ids.
+of copies sends a chunk once per task. Reading joins recipes with 28 bytes a chunk, not with ids; a part is
+verified in one task, as it was written by one. The driver sees one manifest row a part.
 
 Cases: a null or empty text is a document of the end id alone; null doc_ids sort first; repeated
-rows are documents of their own; an empty table gives empty files and no rows; other columns are
-not read.
+rows are documents of their own, ties in doc_id stand by digests; an empty table gives empty files and no rows;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,11 +30,12 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch, tokens
@@ -119,15 +124,25 @@ def _stage(path: str, end_id: int, width: int, seen_most: int = 500_000):
     return run, "kind string, key binary, doc_id long, n long, body binary, root binary"
 
 
+def _leaf(root: bytes, n_tokens: int) -> bytes:
+    return root + n_tokens.to_bytes(8, "big")
+
+
 def _running(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, row, at = TaskContext.get().partitionId(), 0, 0
+    """The recipes of a part with their place in it, and last the part's own row."""
+    part, row, at, leaves = TaskContext.get().partitionId(), 0, 0, []
+    names = ["part", "row", "doc_id", "start", "n_tokens", "digests", "root", "kind"]
+    types = [pa.int64()] * 5 + [pa.binary(), pa.binary(), pa.string()]
     for batch in batches:
         n = batch.column("n_tokens").to_numpy(zero_copy_only=False)
         ends = at + np.cumsum(n)
         rows = pa.array(row + np.arange(batch.num_rows))
         parts = pa.array(np.full(batch.num_rows, part, np.int64))
-        yield pa.RecordBatch.from_arrays([parts, rows, batch.column("doc_id"), pa.array(ends - n), batch.column("n_tokens"), batch.column("digests"), batch.column("root")], names=["part", "row", "doc_id", "start", "n_tokens", "digests", "root"])
+        leaves += map(_leaf, batch.column("root").to_pylist(), n.tolist())
+        yield pa.RecordBatch.from_arrays([parts, rows, batch.column("doc_id"), pa.array(ends - n), batch.column("n_tokens"), batch.column("digests"), batch.column("root"), pa.array(["recipe"] * batch.num_rows, pa.string())], names=names)
         row, at = row + batch.num_rows, int(ends[-1]) if len(ends) else at
+    if row:
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, row, None, None, at, None, merkle(leaves), "part"), types, strict=True)], names=names)
 
 
 def width_of(tokenizer: str, end_id: int) -> int:
@@ -145,13 +160,21 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     rows.dropDuplicates(["kind", "key"]).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
     recipes = _objects(spark, path).where("kind = 'recipe'").select("doc_id", F.col("n").alias("n_tokens"), F.col("body").alias("digests"), "root")
     ordered = recipes.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "digests")
-    ordered.mapInArrow(_running, _RECIPES).write.option("compression", "zstd").parquet(f"{path}/recipes")
-    # One row for each file of recipes: the only unpartitioned window, over as many rows as there are tasks.
-    totals = _recipes(spark, path).groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("row", "root"))), lambda x: F.hex(x.root))), 256).alias("root"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long").alias("base"), "n_docs", "n_tokens", "root").write.parquet(f"{path}/manifest")
+    ordered.mapInArrow(_running, f"{_RECIPES}, kind string").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/recipes")
+    parts = _recipes(spark, path, "part").orderBy("part").collect()  # a row for each task that wrote
+    lines, base = [], 0
+    for x in parts:
+        lines.append((x.part, base, x.row, x.n_tokens, bytes(x.root)))
+        base += x.n_tokens
+    lines.append((-1, 0, sum(x[2] for x in lines), base, _total(lines)))
+    spark.createDataFrame(lines, _MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
+
 
+def _total(lines: list[tuple]) -> bytes:
+    return merkle([_leaf(x[4], x[3]) for x in lines])
 
+
+_MANIFEST = "part long, base long, n_docs long, n_tokens long, root binary"
 _RECIPES = "part long, row long, doc_id long, start long, n_tokens long, digests binary, root binary"
 
 
@@ -159,13 +182,28 @@ def _objects(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("key binary, doc_id long, n long, body binary, root binary, kind string").parquet(f"{path}/objects")
 
 
-def _recipes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
+def _recipes(spark: SparkSession, path: str, kind: str = "recipe") -> DataFrame:
+    return spark.read.schema(f"{_RECIPES}, kind string").parquet(f"{path}/recipes").where(F.col("kind") == kind).drop("kind")
+
+
+def manifest(spark: SparkSession, path: str) -> list[tuple]:
+    """The manifest's rows of parts, held against the store's own row: a row for each task that wrote."""
+    rows = [(x.part, x.base, x.n_docs, x.n_tokens, bytes(x.root or b"")) for x in spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").orderBy("part").collect()]
+    if not rows or rows[0][0] != -1:
+        raise ValueError(f"{path}: the manifest has no row of the store")
+    total, parts, base = rows[0], rows[1:], 0
+    for part, at, _, n_tokens, _ in parts:
+        if at != base:
+            raise ValueError(f"{path}: part {part} of the manifest begins at {at}, not at {base}")
+        base += n_tokens
+    if (total[2], total[3], total[4]) != (sum(x[2] for x in parts), base, _total(parts)):
+        raise ValueError(f"{path}: the manifest's parts don't have the root of the store")
+    return parts
 
 
 def _placed(spark: SparkSession, path: str) -> DataFrame:
-    manifest = spark.read.schema("part long, base long").parquet(f"{path}/manifest")  # a row for each task that wrote
-    return _recipes(spark, path).join(F.broadcast(manifest), "part").withColumn("start", F.col("start") + F.col("base")).drop("base")
+    base = spark.createDataFrame([x[:2] for x in manifest(spark, path)], "part long, base long")
+    return _recipes(spark, path).join(F.broadcast(base), "part").withColumn("start", F.col("start") + F.col("base")).drop("base")
 
 
 def _listed(recipes: DataFrame) -> DataFrame:
@@ -221,25 +259,64 @@ def shifted(crc: np.ndarray, zeros: np.ndarray, tables: np.ndarray) -> np.ndarra
     return crc
 
 
-def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables = _shift_tables()
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        listed = batch.column("chunks")
-        flat, offsets = listed.flatten(), listed.offsets.to_numpy().astype(np.int64)
-        offsets = offsets - offsets[0]
-        size, crc = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("size", "crc"))
-        keys = flat.field("digest").to_pylist()
-        n_tokens = batch.column("n_tokens").to_numpy()
-        ends = np.cumsum(size)
-        last = np.repeat(ends[offsets[1:] - 1], np.diff(offsets))
-        sums = np.bitwise_xor.reduceat(shifted(crc, (last - ends) * 4, tables), offsets[:-1])
-        totals = np.add.reduceat(size, offsets[:-1])
-        for k, root in enumerate(batch.column("root").to_pylist()):
-            if totals[k] != n_tokens[k] or merkle(keys[offsets[k] : offsets[k + 1]]) != root:
-                raise ValueError(f"document {batch.column('doc_id')[k]} can't be rebuilt from its recipe")
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(sums.astype(np.int64)), pa.array(np.diff(offsets))], names=["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks"])
+def _verified(lines: dict[int, tuple]):
+    """Documents put together from their chunks, each part held against its manifest row; rows come by part, row and pos."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _shift_tables()
+        part, rows, at, leaves = None, 0, 0, []
+
+        def close() -> None:
+            if part is not None and (rows, at, merkle(leaves)) != (lines[part][2], lines[part][3], lines[part][4]):
+                raise ValueError(f"part {part} isn't what the manifest says: {rows} documents of {lines[part][2]}, {at} ids of {lines[part][3]}")
+
+        held: list[pa.RecordBatch] = []  # of the document that isn't over
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                held.append(batch)
+            if not held:
+                break
+            whole = pa.Table.from_batches(held).combine_chunks()
+            own, row = (whole.column(x).to_numpy() for x in ("part", "row"))
+            begin = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (row[1:] != row[:-1])]))
+            end = len(own) if batch is None else int(begin[-1])
+            held = whole.slice(end).to_batches() if end < len(own) else []
+            begin = begin[begin < end]
+            if not len(begin):
+                continue
+            whole = whole.slice(0, end)
+            if whole.column("size").null_count:
+                k = whole.column("size").is_null().to_numpy(zero_copy_only=False).argmax()
+                raise ValueError(f"document {whole.column('doc_id')[k]} needs a chunk that isn't there")
+            size, crc = (whole.column(x).to_numpy() for x in ("size", "crc"))
+            keys = whole.column("digest").to_pylist()
+            counts = np.diff(np.append(begin, end))
+            ends = np.cumsum(size)
+            last = np.repeat(ends[begin + counts - 1], counts)
+            sums = np.bitwise_xor.reduceat(shifted(crc, (last - ends) * 4, tables), begin)
+            totals = np.add.reduceat(size, begin)
+            first = whole.take(pa.array(begin))
+            starts = first.column("start").to_numpy().copy()
+            of, n_tokens = own[begin].tolist(), first.column("n_tokens").to_pylist()
+            for k, root in enumerate(first.column("root").to_pylist()):
+                a = int(begin[k])
+                if of[k] != part:
+                    close()
+                    part, rows, at, leaves = of[k], 0, 0, []
+                    if part not in lines:
+                        raise ValueError(f"part {part} isn't in the manifest")
+                if totals[k] != n_tokens[k] or starts[k] != at or row[a] != rows or merkle(keys[a : a + int(counts[k])]) != root:
+                    raise ValueError(f"document {first.column('doc_id')[k]} can't be rebuilt from its recipe")
+                starts[k] += lines[part][1]
+                rows, at = rows + 1, at + n_tokens[k]
+                leaves.append(_leaf(root, n_tokens[k]))
+            out = [first.column("doc_id").combine_chunks(), pa.array(starts), pa.array(n_tokens, pa.int64()), pa.array(sums.astype(np.int64)), pa.array(counts)]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks"])
+        close()
+
+    return run
 
 
 def _width(spark: SparkSession, path: str) -> int:
@@ -250,13 +327,17 @@ def _width(spark: SparkSession, path: str) -> int:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Per document doc_id, start, n_tokens, ids_crc32, n_chunks, from the files alone.
 
-    Every stored chunk is hashed again, every document's length and Merkle root are compared; a
-    mismatch fails the job. A document's checksum is put together from those of its chunks.
+    Every stored chunk is hashed again, every document's length, place and Merkle root are compared, every part's
+    and the store's; a mismatch fails the job. A document's checksum is put together from those of its chunks.
     """
+    lines = {x[0]: x for x in manifest(spark, path)}
+    recipes = _recipes(spark, path)
+    there = {x.part for x in recipes.select("part").distinct().collect()}  # as many as the manifest has rows
+    if lost := sorted(lines.keys() - there):
+        raise ValueError(f"{path}: no recipes of the parts {lost}")
     chunks = _objects(spark, path).where("kind = 'chunk'").select("key", "body").mapInArrow(_facts(_width(spark, path)), "digest binary, size long, crc long")
-    rows = _listed(_placed(spark, path)).join(chunks, "digest")
-    docs = rows.groupBy("part", "row", "doc_id", "start", "n_tokens", "root").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "size", "crc"))).alias("chunks"))
-    return docs.mapInArrow(_verified, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks long")
+    rows = _listed(recipes).join(chunks, "digest", "left").repartition("part").sortWithinPartitions("part", "row", "pos")
+    return rows.mapInArrow(_verified(lines), "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks long")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import os
 import re
+import string
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +24,26 @@ def _byte_letters() -> dict[int, str]:
 
 
 BYTES = _byte_letters()
+MEMO = 600_000  # words that a worker remembers
+
+
+# The normaliser and the pre-tokenizer of files whose tokens stop at white space and lower-case first.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+
+
+def _form_is_known(path: str) -> bool:
+    """Whether the file normalises and cuts texts as stated above, and has a plain BPE model."""
+    with open(path, encoding="utf-8") as file:
+        form = json.load(file)
+    cut = form["pre_tokenizer"] or {}
+    parts = cut.get("pretokenizers", [])
+    byte_level = len(parts) == 2 and {k: v for k, v in parts[1].items() if k != "trim_offsets"} == BYTE_LEVEL
+    model = form["model"]
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    marks = all(any(c.isalnum() for c in x["content"]) and not any(c.isspace() for c in x["content"]) for x in form["added_tokens"])
+    return form["normalizer"] == NORMALIZER and cut.get("type") == "Sequence" and byte_level and parts[0] == SPLIT and plain and marks and not form["post_processor"]
 
 
 class WordTokenizer:
@@ -28,27 +51,24 @@ class WordTokenizer:
 
     A text is cut at spaces and line feeds, each distinct word is encoded once by the library and
     remembered, and the ids of a text are those of its words in order. This equals encoding the
-    whole text when the pre-tokenizer drops white space; the constructor refuses other files.
-    A word of letters with closing punctuation is looked up as its lower-case letters and its
-    punctuation, if the file itself lower-cases and parts the two; a lower-case letter word goes straight
-    to the file's BPE model, as its normaliser and pre-tokenizer would leave it as it is. Both are tried on samples first. The memory is
-    emptied at ``memo`` words.
+    whole text when the pre-tokenizer drops white space; the constructor reads the file's normaliser and
+    pre-tokenizer and refuses files of any other form.
+    A word of letters with closing ASCII punctuation is looked up as its lower-case letters and its
+    punctuation, as the file itself lower-cases and parts the two; a lower-case letter word goes straight
+    to the file's BPE model, as its normaliser and pre-tokenizer would leave it as it is. At ``memo`` words
+    the memory drops those that were met only once since it last did.
     """
 
     #: Scripts whose letters are single code points that NFC keeps and that lower-case one to one.
-    LETTERS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0410-\u044f]+)([.,;:!?]*)")
+    LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0410-\u044f]+")
 
-    def __init__(self, path: str, memo: int = 1_200_000):
+    def __init__(self, path: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        if not _form_is_known(path):
+            raise ValueError(f"{path}: tokens of this file may depend on white space")
         self.inner = Tokenizer.from_file(path)
-        one, two, both = (self._ids([x])[0] for x in ("Ab", "cd.", " Ab \n cd. "))
-        if one + two != both:
-            raise ValueError(f"{path}: tokens of this file depend on white space")
-        samples = ["ab", "straße", "été", "жизнь", "niño", "lantern", "ÿß"]
-        parts = all(self._ids([x])[0] == sum(self._ids([x[:-2].lower(), x[-2:]]), []) for x in ("Ab.,", "Été;:", "x!?"))
-        self.direct = parts and [self._letters(x) for x in samples] == self._ids(samples)
         self.memo = memo
         self._clear()
 
@@ -64,8 +84,18 @@ class WordTokenizer:
         self.units: dict[str, int] = {"": 0}  # of words and parts of words
         self.ids = np.empty(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)  # of the n-th unit in ids, and the end of the last
+        self.hits = np.zeros(1 << 14, np.int32)  # slices that had the unit
         self.n, self.used = 1, 0
 
+    def _drop(self) -> None:
+        """Forget the units that no second slice had; all of them if that leaves more than half."""
+        kept = [w for w, u in self.units.items() if self.hits[u] > 1 and u]
+        if 2 * len(kept) > self.memo:
+            return self._clear()
+        ids, ends = self._gather(np.fromiter(map(self.units.__getitem__, kept), np.int64, len(kept)))
+        self._clear()
+        return self._add(kept, ids, np.diff(ends))
+
     def _gather(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of units end to end, and where each ends, from 0."""
         begin = self.start[units]
@@ -81,6 +111,7 @@ class WordTokenizer:
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while self.n + len(new) + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+            self.hits = np.concatenate([self.hits, np.zeros_like(self.hits)])
         self.ids[self.used : self.used + len(ids)] = ids
         self.start[self.n + 1 : self.n + 1 + len(new)] = self.used + np.cumsum(lengths)
         self.units.update(zip(new, range(self.n, self.n + len(new)), strict=True))
@@ -94,11 +125,12 @@ class WordTokenizer:
             self._add(part, np.fromiter(chain.from_iterable(own), np.uint32, int(lengths.sum())), lengths)
 
     def _learn(self, new: list[str]) -> None:
-        units, match = self.units, self.LETTERS.fullmatch if self.direct else lambda _: None
+        units, match, closing = self.units, self.LETTERS.fullmatch, string.punctuation
         letters, others, joined = {}, {}, {}
         for w in new:
-            if m := match(w):
-                core, rest = m.groups()
+            core = w.rstrip(closing)
+            if match(core):
+                rest = w[len(core) :]
                 core = core.lower()
                 if core not in units:
                     letters[core] = None
@@ -112,7 +144,7 @@ class WordTokenizer:
         self._encode_units([x for x in others if x not in units], False)
         joined = {w: x for w, x in joined.items() if w not in units}
         if joined:
-            both = np.fromiter((units[x] for pair in joined.values() for x in pair), np.int64, 2 * len(joined))
+            both = np.fromiter(map(units.__getitem__, chain.from_iterable(joined.values())), np.int64, 2 * len(joined))
             ids, ends = self._gather(both)
             self._add(list(joined), ids, np.diff(ends[::2]))
 
@@ -121,9 +153,13 @@ class WordTokenizer:
         offsets, flat = words.split(texts)
         distinct = flat.dictionary.to_pylist()
         if len(self.units) + len(distinct) > self.memo:
-            self._clear()
-        self._learn([w for w in distinct if w not in self.units])
-        units = np.fromiter((self.units[w] for w in distinct), np.int64, len(distinct))
+            self._drop()
+        units = np.fromiter(map(self.units.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(units < 0).tolist()
+        if new:
+            self._learn([distinct[i] for i in new])
+            units[new] = [self.units[distinct[i]] for i in new]
+        self.hits[units] += 1
         units = units[flat.indices.to_numpy()] if len(units) else units
         if end_id is not None:
             if (mark := f" {end_id}") not in self.units:  # no word has a space
@@ -134,8 +170,14 @@ class WordTokenizer:
         return ends[offsets], ids
 
 
+@functools.lru_cache(maxsize=2)
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this worker process, which keeps its words from task to task."""
+    return WordTokenizer(path)
+
+
 def encoded(batches: Iterable[pa.RecordBatch], text: str, path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with the offsets and ids of their texts, ``end_id`` after each text."""
-    tokenizer = WordTokenizer(path)
+    tokenizer = worker_tokenizer(path)
     for batch in words.slices(batches, text):
         yield batch, *tokenizer.encode(batch.column(text), end_id)

@@ -81,15 +81,51 @@ def test_store_of_nothing(spark, tmp_path):
     assert token_store.read(spark, str(tmp_path / "s")).count() == 0
 
 
-def test_damaged_store_is_noticed(spark, tmp_path):
-    path = str(tmp_path / "s")
-    token_store.write(make(spark, random_texts(5, 5, 400)), path, tokenizer_path())
-    bad = token_store._objects(spark, path).withColumn("body", F.when(F.col("kind") == "chunk", F.concat(F.substring("body", 1, 2), F.reverse(F.substring("body", 3, 10_000)))).otherwise(F.col("body")))
-    bad.write.partitionBy("kind").parquet(f"{path}2/objects")
-    for t in ("recipes", "manifest"):
-        spark.read.parquet(f"{path}/{t}").write.parquet(f"{path}2/{t}")
-    with pytest.raises(Exception, match="digest"):
-        token_store.read(spark, f"{path}2").count()
+@pytest.fixture(scope="module")
+def store(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("store") / "s")
+    token_store.write(make(spark, random_texts(40, 5, 900)).repartition(3), path, tokenizer_path())
+    assert token_store.read(spark, path).count() == 40
+    return path
+
+
+def damaged(spark, store, to, **changes):
+    """A copy of the store with some of its tables changed."""
+    for t, key in (("objects", "kind"), ("recipes", "kind"), ("manifest", None)):
+        df = spark.read.parquet(f"{store}/{t}")
+        df = changes[t](df) if t in changes else df
+        (df.write.partitionBy(key) if key else df.write).parquet(f"{to}/{t}")
+    return to
+
+
+DAMAGE = {
+    "a chunk's bytes": ("objects", "digest", lambda df: df.withColumn("body", F.when(F.col("kind") == "chunk", F.concat(F.substring("body", 1, 2), F.reverse(F.substring("body", 3, 10_000)))).otherwise(F.col("body")))),
+    "a chunk gone": ("objects", "isn't there", lambda df: df.where(~((F.col("kind") == "chunk") & (F.col("key") == F.lit(bytes(df.where("kind = 'chunk'").agg(F.min("key")).first()[0])))))),
+    "a recipe gone": ("recipes", "can't be rebuilt|isn't what the manifest says", lambda df: df.where("not (kind = 'recipe' and doc_id = 7)")),
+    "a part's last recipe gone": ("recipes", "isn't what the manifest says", lambda df: df.where("not (kind = 'recipe' and doc_id = 39)")),
+    "all recipes of a part gone": ("recipes", "no recipes", lambda df: df.where(F.col("part") != df.agg(F.max("part")).first()[0])),
+    "a recipe's digests": ("recipes", "isn't there", lambda df: df.withColumn("digests", F.when(F.col("kind") == "recipe", F.reverse("digests")))),
+    "a recipe's length": ("recipes", "can't be rebuilt", lambda df: df.withColumn("n_tokens", F.col("n_tokens") + F.when(F.col("doc_id") == 7, 1).otherwise(0))),
+    "a manifest's roots": ("manifest", "root", lambda df: df.withColumn("root", F.lit(b"0" * 16))),
+    "a part's root": ("manifest", "root", lambda df: df.withColumn("root", F.when(F.col("part") == 0, F.lit(b"0" * 16)).otherwise(F.col("root")))),
+    "a manifest's counts": ("manifest", "root", lambda df: df.withColumn("n_docs", F.col("n_docs") + 1)),
+    "a part of the manifest gone": ("manifest", "begins at|root", lambda df: df.where("part <> 0")),
+    "the manifest's total gone": ("manifest", "row of the store", lambda df: df.where("part <> -1")),
+}
+
+
+@pytest.mark.parametrize("what", DAMAGE)
+def test_damaged_store_is_noticed(spark, store, tmp_path, what):
+    table, message, change = DAMAGE[what]
+    path = damaged(spark, store, str(tmp_path / "d"), **{table: change})
+    with pytest.raises(Exception, match=message):
+        token_store.read(spark, path).count()
+
+
+def test_store_reads_no_other_columns(spark, tmp_path):
+    docs = make(spark, ["a b", None]).withColumns({x: F.lit(0) for x in ("n", "key", "body", "part", "row", "kind", "start")})
+    token_store.write(docs, str(tmp_path / "s"), tokenizer_path())
+    assert token_store.read(spark, str(tmp_path / "s")).count() == 2
 
 
 def test_chunks_follow_content():
