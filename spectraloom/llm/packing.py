@@ -1,25 +1,28 @@
 """Operator 3: best-fit packing by swap-based local search.
 
 A document's ids (its text by the tokenizer, then an end id) go into sequences of at most
-``capacity`` ids; only longer documents are cut. The pieces are dealt over shards by a hash, each
-shard is filled best fit first, longest first, and then improved: while the shard has more
-sequences than its ids need, the emptiest sequence gives its pieces away by a move into a gap, by an
-exchange of one for one or of two for one. Each step makes the sum of squared fills larger, so the
-search ends; sequences that become empty go. Sequences that a shard leaves below full are searched
-once more together with those of other shards.
+``capacity`` ids; only longer documents are cut. The pieces are dealt over shards by a hash. A
+shard's pieces first stand as they come (next fit, about three quarters full). The search then empties the sparsest sequences
+one after another: a piece moves into the tightest gap that takes it; where no gap does, it is exchanged with a
+shorter piece, or two of them with a shorter one than both, of the sequence that this fills best. Each step makes the sum of squared fills
+larger, so no state comes back and the search ends: at the least possible number of sequences, or when no step is left.
+Sequences that a shard leaves below full are searched on together with those of other shards.
 
 Scale: one row of about 50 bytes a piece moves, never the ids. A shard holds about ``shard`` pieces
 whatever the input, as the number of shards follows a count of the pieces; a hash deals them, so no
 source or group of copies makes a hot shard.
 
 Cases: null and empty texts are documents of the end id alone; repeated rows and doc_ids are packed
-each; null doc_ids stay null; an empty table gives no rows; other columns are not read.
+each; null doc_ids stay null; an empty table gives no rows; other columns, whatever their names, are not read;
+pieces of the same length stand in the order of their rows.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -33,113 +36,128 @@ from . import scratch, tokens
 SHARD = 16_384
 
 
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Bins of indexes: longest first, each into the fullest bin that has room."""
+def next_fit(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Bins of indexes as they come: each into the last bin if it has room."""
     bins: list[list[int]] = []
-    with_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    mask = 0  # bit r is set if a bin has exactly r free
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        fits = mask >> lengths[i]
-        if fits:
-            room = lengths[i] + (fits & -fits).bit_length() - 1
-            b = with_room[room].pop()
-            if not with_room[room]:
-                mask &= ~(1 << room)
-            bins[b].append(i)
-        else:
-            room, b = capacity, len(bins)
-            bins.append([i])
-        left = room - lengths[i]
-        if left:
-            with_room[left].append(b)
-            mask |= 1 << left
+    left = 0
+    for i, length in enumerate(lengths):
+        if length > left:
+            bins.append([])
+            left = capacity
+        bins[-1].append(i)
+        left -= length
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Empty sparse bins by moves, one-for-one and two-for-one exchanges until none helps.
-
-    A step is taken only if what a fuller bin gains is at least what makes the sum of squared fills
-    larger, so no state comes back. It ends early at the least possible number of bins.
-    """
-    size = np.asarray(lengths, np.int64)
-    where = np.full(len(size), -1, np.int64)
-    for b, items in enumerate(bins):
-        where[items] = b
-    fill = np.array([sum(lengths[i] for i in items) for items in bins], np.int64)
-    held = [list(items) for items in bins]
-    alive = len(held)
-    least = -(-int(size.sum()) // capacity)
-
-    def put(i: int, b: int) -> None:
-        a = where[i]
-        held[a].remove(i)
-        held[b].append(i)
-        fill[a] -= size[i]
-        fill[b] += size[i]
-        where[i] = b
-
-    while alive > least:
-        changed = False
-        order = [int(b) for b in np.argsort(fill, kind="stable") if 0 < fill[b] < capacity]
-        if len(order) < 2:
-            break
-        for sparse in order:
-            if alive <= least:
+class Search:
+    """The local search over one shard. ``steps`` counts what it did."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.lengths, self.capacity = lengths, capacity
+        self.size = np.asarray(lengths, np.int64)
+        self.held = [list(items) for items in bins]
+        self.where = np.full(len(lengths), -1, np.int64)
+        for b, items in enumerate(bins):
+            self.where[items] = b
+        self.fill = np.array([sum(lengths[i] for i in items) for items in bins], np.int64)
+        self.steps: Counter[str] = Counter()
+        # Bins by their room, as lists that may hold bins whose room is another by now; bit r of mask: such a list isn't empty.
+        self.with_room: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.mask = 0
+        for b in range(len(bins)):
+            self._open(b)
+
+    def _open(self, b: int) -> None:
+        room = self.capacity - int(self.fill[b])
+        if 0 < room < self.capacity:
+            self.with_room[room].append(b)
+            self.mask |= 1 << room
+
+    def _tightest(self, length: int, but: int) -> int | None:
+        """The fullest bin, other than ``but``, that has room for ``length``."""
+        fits, base = self.mask >> length, length
+        while fits:
+            step = (fits & -fits).bit_length() - 1
+            room = base + step
+            own = self.with_room[room]
+            while own and (self.fill[own[-1]] != self.capacity - room or own[-1] == but):
+                own.pop()
+            if own:
+                return own[-1]
+            self.mask &= ~(1 << room)
+            fits, base = fits >> step + 1, room + 1
+        return None
+
+    def _put(self, i: int, b: int) -> None:
+        a, length = int(self.where[i]), self.lengths[i]
+        self.held[a].remove(i)
+        self.held[b].append(i)
+        self.fill[a] -= length
+        self.fill[b] += length
+        self.where[i] = b
+
+    def _move(self, sparse: int) -> bool:
+        for i in sorted(self.held[sparse], key=lambda i: -self.lengths[i]):
+            b = self._tightest(self.lengths[i], sparse)
+            if b is not None and self.fill[b] + self.lengths[i] > self.fill[sparse]:
+                self._put(i, b)
+                self._open(b)
+                self.steps["move"] += 1
+                return True
+        return False
+
+    def _exchange(self, sparse: int, others: np.ndarray) -> bool:
+        """One or two pieces of ``sparse`` for a shorter one of ``others``, so that its bin is filled as far as can be."""
+        room = (self.capacity - self.fill)[self.where[others]]
+        usable = (room > 0) & (self.where[others] != sparse) & (self.fill[self.where[others]] >= self.fill[sparse])
+        others, room = others[usable], room[usable]
+        if not len(others):
+            return False
+        size = self.size[others]
+        own = sorted(self.held[sparse], key=lambda i: -self.lengths[i])
+        for mine in chain(((i,) for i in own), combinations(own[::-1], 2)):
+            gain = sum(self.lengths[i] for i in mine) - size
+            left = np.where((gain > 0) & (gain <= room), room - gain, self.capacity)
+            k = int(left.argmin())
+            if left[k] < self.capacity:
+                b = int(self.where[others[k]])
+                self._put(int(others[k]), sparse)
+                for i in mine:
+                    self._put(i, b)
+                self._open(b)
+                self.steps["one for one" if len(mine) == 1 else "two for one"] += 1
+                return True
+        return False
+
+    def run(self) -> list[list[int]]:
+        least = -(-int(self.size.sum()) // self.capacity)
+        alive = sum(map(bool, self.held))
+        while alive > least:
+            before = self.steps.total()
+            order = np.argsort(self.fill, kind="stable")
+            order = order[(self.fill[order] > 0) & (self.fill[order] < self.capacity)].tolist()
+            others = np.flatnonzero(self.fill[self.where] < self.capacity)
+            for sparse in order:
+                if alive <= least or not 0 < self.fill[sparse] < self.capacity:
+                    continue
+                while self.held[sparse] and (self._move(sparse) or self._exchange(sparse, others)):
+                    pass
+                if self.held[sparse]:
+                    self._open(sparse)
+                else:
+                    alive -= 1
+            if self.steps.total() == before:
                 break
-            if not 0 < fill[sparse] < capacity:
-                continue
-            while held[sparse]:
-                room = capacity - fill
-                room[sparse] = -1
-                room[fill == 0] = -1
-                room[fill < fill[sparse]] = -1
-                at_bin = room[where]  # room beside each piece
-                done = False
-                for i in sorted(held[sparse], key=lambda i: -lengths[i]):
-                    # Move: the tightest gap that takes the piece.
-                    can = np.flatnonzero(room >= size[i])
-                    if len(can):
-                        put(i, int(can[np.argmin(room[can])]))
-                        done = True
-                        break
-                    # One for one: a shorter piece comes back, the fuller bin gains the difference.
-                    gain = size[i] - size
-                    ok = np.flatnonzero((gain > 0) & (gain <= at_bin))
-                    if len(ok):
-                        j = int(ok[np.lexsort((at_bin[ok] - gain[ok], -gain[ok]))[0]])
-                        b = int(where[j])
-                        put(j, sparse)
-                        put(i, b)
-                        done = True
-                        break
-                if not done and len(held[sparse]) > 1:
-                    # Two for one: the two shortest pairs first, as a larger sum finds room more rarely.
-                    own = sorted(held[sparse], key=lambda i: lengths[i])
-                    for x in range(len(own) - 1):
-                        two = int(size[own[x]] + size[own[x + 1]])
-                        gain = two - size
-                        ok = np.flatnonzero((gain > 0) & (gain <= at_bin))
-                        if len(ok):
-                            j = int(ok[np.argmax(gain[ok])])
-                            b = int(where[j])
-                            put(j, sparse)
-                            put(own[x], b)
-                            put(own[x + 1], b)
-                            done = True
-                            break
-                if not done:
-                    break
-                changed = True
-            if not held[sparse]:
-                alive -= 1
-        if not changed:
-            break
-    return [items for items in held if items]
+        return [items for items in self.held if items]
+
+
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Empty sparse bins by moves and exchanges until none helps, or to the least possible number of bins."""
+    return Search(bins, lengths, capacity).run()
 
 
 def pack(lengths: list[int], capacity: int) -> list[list[int]]:
-    return improve(best_fit(lengths, capacity), lengths, capacity)
+    return improve(next_fit(lengths, capacity), lengths, capacity)
 
 
 def _pieces(path: str, end_id: int, capacity: int):
@@ -176,7 +194,8 @@ _PLACED = "doc_id long, row long, piece int, start long, length long, ids_crc32
 
 def _shard(capacity: int, level: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "row", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        # Later levels start from the sequences that the first one left.
+        rows = rows.sort_values(["row", "piece"] if level == 0 else ["sequence_id", "offset"], kind="stable").reset_index(drop=True)
         lengths = rows["length"].tolist()
         sequence, offset, fill = (np.zeros(len(rows), np.int64) for _ in range(3))
         for b, items in enumerate(pack(lengths, capacity)):
@@ -195,13 +214,12 @@ def _shard(capacity: int, level: int):
 def place(found: DataFrame, capacity: int = 4096, shard: int = SHARD) -> DataFrame:
     """Sequence and offset of each row of ``pieces`` (a table that is read more than once)."""
     shards = max(1, -(-found.count() // shard))
-    salt = lambda n, seed: F.pmod(F.xxhash64("row", "piece", F.lit(seed)), F.lit(n))
-    first = scratch.written(found.withColumn("shard", salt(shards, 0)).groupBy("shard").applyInPandas(_shard(capacity, 0), _PLACED))
+    first = scratch.written(found.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards))).groupBy("shard").applyInPandas(_shard(capacity, 0), _PLACED))
     if shards == 1:
         return first
-    loose = first.where(F.col("fill") < capacity).drop("sequence_id", "offset", "fill")
+    loose = first.where(F.col("fill") < capacity).drop("fill")
     left = max(1, -(-loose.count() // shard))
-    again = loose.withColumn("shard", salt(left, 1)).groupBy("shard").applyInPandas(_shard(capacity, 1), _PLACED)
+    again = loose.withColumn("shard", F.pmod(F.xxhash64("sequence_id"), F.lit(left))).groupBy("shard").applyInPandas(_shard(capacity, 1), _PLACED)
     return first.where(F.col("fill") == capacity).unionByName(again)
 
 
