@@ -7,8 +7,10 @@ The order decides about speed only; any order finds all links. In a bucket a pai
 shingle (positional filter) or 256 parity bits (two sets differ in at least as many shingles as bits) rule the similarity out; what is
 left is compared exactly by whole sets. None of the filters loses a link.
 
-Buckets are worked off twice. First each text is compared with the next in size, which joins most of a cluster at a cost
-linear in it. Then all pairs are tried whose texts are not yet in one component; others can add nothing.
+Links are looked for in rounds, each among texts that no round before has brought into one component; others can add nothing.
+First come pairs that the caller proposes (near fingerprints). Then, in each of ``CHAINS`` rounds, a bucket's texts stand in an order of
+its own and each is compared with the next: in its buckets a text of a cluster meets several others of it, at a cost linear
+in the cluster. Last, all pairs are tried whose texts are still apart.
 
 Scale: the sets are written once (8 bytes a shingle, about 1.2 x the texts); about a fifth of the shingles move with 12 further bytes, then only those
 that several texts share. Whole sets move for texts of a pair that no filter rules out. A cluster costs its size, but texts
@@ -35,6 +37,7 @@ from .components import components
 SAMPLE, FREQUENT, MOST_BROADCAST = 20_000, 100_000, 2_000_000
 SEEN, PORTION = 1_000_000, 200_000
 MARKS = ("b0", "b1", "b2", "b3")
+CHAINS = 2
 
 
 def _flat(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -43,17 +46,19 @@ def _flat(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum(size)]), np.frombuffer(b"".join(sets.to_pylist()), "<u8")
 
 
-def _sets(shingle: int, hashes: Callable):
+def _sets(shingle: int, hashes: Callable, fingerprint: Callable):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in words.slices(batches, "text"):
             texts = pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist()
-            sets = [np.unique(np.array(hashes(t, shingle, xxh64_intdigest), "<u8")).tobytes() for t in texts]
+            sets = [np.unique(np.array(hashes(t, shingle, xxh64_intdigest), "<u8")) for t in texts]
+            fps = fingerprint(sets).view(np.int64)
+            sets = [x.tobytes() for x in sets]
             ids = np.array([xxh64_intdigest(s) for s in sets], np.uint64).view(np.int64)
             sets = pa.array(sets, pa.binary())
             size = pc.binary_length(sets).to_numpy().astype(np.int32) // 8
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids), sets, pa.array(size), *(pa.array(np.ascontiguousarray(x)) for x in marks(sets).T)], names=["doc_id", "id", "set", "n", *MARKS])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids), sets, pa.array(size), pa.array(fps), *(pa.array(np.ascontiguousarray(x)) for x in marks(sets).T)], names=["doc_id", "id", "set", "n", "fp", *MARKS])
 
     return run
 
@@ -147,15 +152,15 @@ def marks(sets: pa.Array) -> np.ndarray:
     return np.packbits((count & 1).astype(np.uint8), axis=1, bitorder="little").view("<i8")
 
 
-def _candidates(similarity: float, apart: bool):
-    """u, v of each bucket that no filter rules out: texts that follow each other, or with ``apart`` all pairs of two components."""
+def _candidates(similarity: float, every: bool):
+    """u, v of two components in each bucket that no filter rules out: texts that follow each other, or with ``every`` all pairs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for begin, (hashes, ids, places, n, component, *bits) in _buckets(batches, ("hash", "id", "place", "n", "component", *MARKS)):
             size = np.diff(np.append(begin, len(ids)))
             end = np.repeat(begin + size, size)
             n, places = n.astype(np.int64), places.astype(np.int64)
-            if apart:  # in the order of components: partners begin where the own one ends
+            if every:  # in the order of components: partners begin where the own one ends
                 run_at = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (component[1:] != component[:-1])]))
                 run_size = np.diff(np.append(run_at, len(ids)))
                 first = np.repeat(run_at + run_size, run_size)
@@ -163,6 +168,8 @@ def _candidates(similarity: float, apart: bool):
                 first = np.arange(len(ids)) + 1
             out, total = [], 0
             i, shift = np.flatnonzero(first < end), 0
+            if not every:
+                i = i[component[i] != component[i + 1]]
             while len(i):
                 j = first[i] + shift
                 both = n[i] + n[j]
@@ -177,7 +184,7 @@ def _candidates(similarity: float, apart: bool):
                     yield batch_of(out)
                     out, total = [], 0
                 shift += 1
-                i = i[first[i] + shift < end[i]] if apart else i[:0]
+                i = i[first[i] + shift < end[i]] if every else i[:0]
             if total:
                 yield batch_of(out)
 
@@ -212,29 +219,30 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").mapInArrow(_alike(similarity), "u long, v long")
 
 
-def linked(sets: DataFrame, similarity: float) -> DataFrame:
-    """node, component of the ids of ``sets`` (id, set, n and MARKS) that link with others."""
+def linked(sets: DataFrame, similarity: float, propose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, component of the ids of ``sets`` (id, set, n, fp and MARKS) that link with others; ``propose`` gives pairs for (id, fp)."""
     prefix = sets.select("id", "set").mapInArrow(_prefixes(similarity, frequent(sets)), "hash long, id long, place int")
     shared = scratch.written(prefix.repartition("hash").sortWithinPartitions("hash", "id").mapInArrow(_shared, "hash long, id long, place int"))
     points = scratch.written(shared.join(sets.select("id", "n", *MARKS).distinct(), "id"))
-
-    def links(rows: DataFrame, order: tuple[str, ...], apart: bool) -> DataFrame:
-        dealt = rows.repartition("hash").sortWithinPartitions("hash", *order)
-        pairs = dealt.mapInArrow(_candidates(similarity, apart), "u long, v long").distinct()
-        return scratch.written(verified(pairs, sets, similarity))
-
-    before = scratch.written(components(links(points.withColumn("component", F.col("id")), ("n", "id"), False)))
-    rows = points.join(before, F.col("id") == F.col("node"), "left").select(*points.columns, F.coalesce("component", "id").alias("component"))
-    more = links(rows, ("component", "id"), True)
-    return components(before.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
-
-
-def classes(docs: DataFrame, shingle: int, similarity: float, hashes: Callable) -> DataFrame:
+    node = scratch.written(components(scratch.written(verified(propose(sets.select("id", "fp").distinct()), sets, similarity))))
+    for k in range(CHAINS + 1):
+        every = k == CHAINS
+        rows = points.join(node, F.col("id") == F.col("node"), "left").select(*points.columns, F.coalesce("component", "id").alias("component"))
+        order = F.col("component") if every else F.xxhash64("id", "hash", F.lit(k))
+        dealt = rows.repartition("hash").sortWithinPartitions("hash", order, "id")
+        pairs = dealt.mapInArrow(_candidates(similarity, every), "u long, v long").distinct()
+        more = scratch.written(verified(pairs, sets, similarity))
+        node = scratch.written(components(node.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)))
+    return node
+
+
+def classes(docs: DataFrame, shingle: int, similarity: float, hashes: Callable, fingerprint: Callable, propose: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable through links) of every row; ``hashes`` gives a text's shingles."""
     scratch.small_batches(docs.sparkSession)
-    sets = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sets(shingle, hashes), "doc_id long, id long, set binary, n int, " + ", ".join(f"{b} long" for b in MARKS))
+    columns = "doc_id long, id long, set binary, n int, fp long, " + ", ".join(f"{b} long" for b in MARKS)
+    sets = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sets(shingle, hashes, fingerprint), columns)
     sets = scratch.written(sets)
-    node = linked(sets, similarity)
+    node = linked(sets, similarity, propose)
     nodes = sets.groupBy("id").agg(F.min("doc_id").alias("least"))
     nodes = scratch.written(nodes.join(node, nodes.id == node.node, "left").select("id", "least", F.coalesce("component", "id").alias("component")))
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))

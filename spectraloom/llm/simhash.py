@@ -1,28 +1,29 @@
 """Operator 4: near-duplicates by SimHash under a Gray-order hierarchical index.
 
 A text's fingerprint has a bit set where over half of its word shingles' XXH64 have it. Fingerprints
-link at ``distance`` or fewer differing bits. Distinct fingerprints are dealt to buckets by every
-pair of five bit blocks: with 3 differing bits at least two blocks agree, so linked fingerprints
-meet in a bucket. Inside a bucket they are sorted by Gray rank; leaves of neighbours and the nodes
-above them keep the bits that all below share (a mask and their pattern). A pair of nodes whose
-shared patterns already differ in more than ``distance`` bits is left out with all below it, and so is a
-pair of groups that links have joined before. A bucket gives the links of a spanning forest,
+link at ``distance`` or fewer differing bits. Distinct fingerprints are sorted by Gray rank, in which
+neighbours share most bits, and range-partitioned. Over each range stands an index: leaves of neighbours and the nodes
+above them keep the bits that all below share (a mask and their pattern). Ranges are joined with themselves from the top
+down: a pair of nodes whose shared patterns already differ in more than ``distance`` bits is left out with all below it, and so is a
+pair of groups that links have joined before. The index gives the links of a spanning forest,
 which keeps components whole without listing all pairs of a cluster.
 
-Scale: texts are read once; 8 bytes a fingerprint times ten move, after equal fingerprints are
-folded by partial aggregation (copies cost one row). Keys have about 26 bits, so buckets stay small
-until some billions of distinct fingerprints; ``blocks`` can be raised beyond. A bucket
-takes 16 bytes a fingerprint in one task and its node pairs are worked off in portions.
+So that no range needs to meet another, fingerprints are sorted ``distance + 1`` times, each time turned so that another
+block of their bits leads. Of linked fingerprints at least one block is equal, so in that order they stand in one run of equal leading bits,
+which is never cut; nodes whose leading bits differ are left out at once.
+
+Scale: texts are read once; 12 bytes a fingerprint times four move, after equal fingerprints are
+folded by partial aggregation (copies cost one row). A task holds ``HELD`` fingerprints, or one run of 16 equal leading bits if that
+is longer (N / 65,536 on average), and their node pairs are worked off in portions.
 
 Cases: null counts as empty; no words: fingerprint zero, which links like any other; null doc_ids are
 kept and belong to their fingerprint's component (a component of null ids alone has id null); repeated
-rows give repeated rows; an empty table gives no rows; other columns are not read.
+rows give repeated rows; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -48,64 +49,39 @@ def _hashes(text: bytes, shingle: int, hashed) -> list[int]:
     return [hashed(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th further hash of a shingle, from its XXH64 (the finaliser of SplitMix64 after k steps)."""
-    x = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def majority(held: list[np.ndarray]) -> np.ndarray:
+    """The fingerprint of each list of hashes; zero of an empty one."""
+    out = np.zeros(len(held), np.uint64)
+    size = np.fromiter(map(len, held), np.int64, len(held))
+    some = np.flatnonzero(size)
+    portion = np.cumsum(size[some]) // 100_000  # lists that are counted at once
+    for at in np.split(some, np.flatnonzero(np.diff(portion)) + 1) if len(some) else []:
+        bits = np.unpackbits(np.concatenate([held[i] for i in at]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        count = np.add.reduceat(bits, np.cumsum(size[at]) - size[at], axis=0, dtype=np.int32)
+        out[at] = np.packbits(count * 2 > size[at][:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
 
 
-def fingerprints_of(texts: list[bytes], shingle: int = 3, more: int = 0) -> np.ndarray:
-    """64-bit fingerprints of texts in UTF-8; with ``more``, a row for each text with so many further ones."""
+def fingerprints_of(texts: list[bytes], shingle: int = 3) -> np.ndarray:
+    """64-bit fingerprints of texts in UTF-8."""
     from xxhash import xxh64_intdigest
 
-    out = np.zeros((len(texts), 1 + more), np.uint64)
-    at, held, sizes = [], [], []
-    waiting = 0
-
-    def close() -> None:
-        flat = np.concatenate(held)
-        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        half = np.array(sizes)[:, None]
-        for k in range(1 + more):
-            own = flat if k == 0 else _mixed(flat, k)
-            bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            count = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
-            out[at, k] = np.packbits(count * 2 > half, axis=1, bitorder="little").view("<u8").ravel()
-        for x in (at, held, sizes):
-            x.clear()
-
-    for i, text in enumerate(texts):
-        found = _hashes(text, shingle, xxh64_intdigest)
-        if found:
-            at.append(i)
-            held.append(np.array(found, np.uint64))
-            sizes.append(len(found))
-            waiting += len(found)
-            if waiting > 100_000:
-                close()
-                waiting = 0
-    if at:
-        close()
-    return out if more else out[:, 0]
-
-
-def _fingerprints(shingle: int, more: int = 0):
+    return majority([np.array(_hashes(text, shingle, xxh64_intdigest), np.uint64) for text in texts])
+
+
+def _fingerprints(shingle: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches, "text"):
             texts = pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist()
-            found = fingerprints_of(texts, shingle, more).view(np.int64).reshape(len(texts), 1 + more)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in found.T)], names=["doc_id", "fp", *(f"fp{k}" for k in range(1, 1 + more))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints_of(texts, shingle).view(np.int64))], names=["doc_id", "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, more: int = 0) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) and ``more`` further ones fp1, fp2 ... for every row."""
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed long) for every row."""
     scratch.small_batches(docs.sparkSession)
-    schema = "doc_id long, fp long" + "".join(f", fp{k} long" for k in range(1, 1 + more))
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(shingle, more), schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
 
 
 def gray_rank(fp):
@@ -115,21 +91,31 @@ def gray_rank(fp):
     return fp.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def masks(distance: int, blocks: int) -> list[int]:
-    """Masks of every choice of blocks that must agree; any ``distance`` flips leave one choice whole."""
-    edge = [round(64 * i / blocks) for i in range(blocks + 1)]
-    block = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edge, edge[1:], strict=False)]
-    return [sum(x) - (1 << 64 if sum(x) >> 63 else 0) for x in combinations(block, blocks - distance)]
+def turns(distance: int) -> tuple[list[int], int]:
+    """How far to turn a fingerprint to the left so that each of ``distance + 1`` blocks leads, and the bits that lead."""
+    blocks = distance + 1
+    return [(64 - round(64 * (i + 1) / blocks)) % 64 for i in range(blocks)], 64 // blocks
 
 
-LEAF, FAN, PORTION = 32, 8, 1 << 20
+def turned(fp, by: int):
+    """A column of 64-bit patterns turned to the left."""
+    return F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by)) if by else fp
+
+
+LEAF, FAN, PORTION, HELD = 16, 8, 1 << 20, 1 << 17
 
 
 class GrayIndex:
-    """Fingerprints in Gray order, with the shared bits of each leaf and of the nodes above."""
+    """Fingerprints in Gray order, with the shared bits of each leaf and of the nodes above.
 
-    def __init__(self, ordered: np.ndarray):
+    A node's mask holds the bits of those above it as well, so the differing bits of a pair of nodes are what has been
+    accumulated on the way down. ``lead`` bits are the leading ones: groups that differ in them are left out.
+    """
+
+    def __init__(self, ordered: np.ndarray, lead: int = 0):
         self.points = ordered
+        self.lead = np.uint64(((1 << lead) - 1) << (64 - lead))
+        self.pruned, self.tested = 0, 0  # pairs of nodes left out with all below them, pairs of points compared
         mask, value, self.levels = np.full(len(ordered), ~np.uint64(0)), ordered, []
         size = LEAF
         while True:
@@ -162,7 +148,9 @@ class GrayIndex:
                 stack += [(level, a[i : i + most], b[i : i + most]) for i in range(0, len(a), most)]
                 continue
             mask, value = self.levels[level]
-            near = np.bitwise_count((value[a] ^ value[b]) & mask[a] & mask[b]) <= distance
+            differ = (value[a] ^ value[b]) & mask[a] & mask[b]
+            near = (np.bitwise_count(differ) <= distance) & (differ & self.lead == 0)
+            self.pruned += len(a) - int(near.sum())
             a, b = a[near], b[near]
             if not len(a):
                 continue
@@ -176,6 +164,7 @@ class GrayIndex:
             x, y = self._children(a[open_], b[open_], LEAF, len(self.points))
             ok = (x < y) & (label[x] != label[y])
             x, y = x[ok], y[ok]
+            self.tested += len(x)
             ok = np.bitwise_count(self.points[x] ^ self.points[y]) <= distance
             found += _join(label, x[ok], y[ok])
         if not found:
@@ -207,79 +196,52 @@ def _join(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndar
     return used
 
 
-def _bucket_links(distances: tuple[int, ...]):
-    """Links of a spanning forest of each bucket, from the nearest points to the farthest of ``distances``."""
+def _range_links(distance: int):
+    """Links of a spanning forest of each run of equal leading bits; rows come by turn and Gray rank."""
+    by, lead = turns(distance)
+
+    def links(turn: np.ndarray, points: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edge = np.flatnonzero(np.concatenate([[True], turn[1:] != turn[:-1], [True]])).tolist()
+        for a, b in zip(edge, edge[1:], strict=False):
+            x, y = GrayIndex(points[a:b], lead).forest(distance, np.arange(b - a))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a + x]), pa.array(ids[a + y])], names=["u", "v"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(begin: np.ndarray, points: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-            """begin: where buckets begin; each is in Gray order."""
-            size = np.diff(np.append(begin, len(points)))
-            out = [(ids[:0], ids[:0])]
-            # Buckets of up to a leaf are worked off together, each pair of points once.
-            small = np.repeat(size <= LEAF, size)
-            follow = np.repeat(begin + size, size) - np.arange(len(points)) - 1  # points after this one in its bucket
-            near, (i, shift) = [], (np.flatnonzero(small & (follow > 0)), 1)
-            while len(i):
-                d = np.bitwise_count(points[i] ^ points[i + shift])
-                on = d <= distances[-1]
-                near.append((i[on], i[on] + shift, d[on]))
-                shift += 1
-                i = i[follow[i] >= shift]
-            if near:
-                x, y, d = (np.concatenate(v) for v in zip(*near, strict=True))
-                label, least = np.arange(len(points)), -1
-                for most in distances:
-                    on = (d > least) & (d <= most)
-                    out += [(ids[p], ids[q]) for p, q in _join(label, x[on], y[on])]
-                    least = most
-            for at, n in zip(begin[size > LEAF].tolist(), size[size > LEAF].tolist(), strict=True):
-                index, label = GrayIndex(points[at : at + n]), np.arange(n)
-                for most in distances:
-                    x, y = index.forest(most, label)
-                    out.append((ids[at + x], ids[at + y]))
-            u, v = (np.concatenate(x) for x in zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-        held: list[list[np.ndarray]] = []  # of the bucket that isn't over
+        held: list[list[np.ndarray]] = []
+        waiting = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = [batch.column(x).to_numpy() for x in ("choice", "masked", "fp", "id")]
-            same = held and held[-1][0][-1] == own[0][-1] and held[-1][1][-1] == own[1][-1]
-            held.append(own)
-            if same:  # the whole batch goes on with the open bucket
+            held.append([batch.column(x).to_numpy() for x in ("turn", "turned", "id")])
+            waiting += batch.num_rows
+            if waiting < HELD:
                 continue
-            choice, masked, points, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            begin = np.flatnonzero(np.concatenate([[True], (choice[1:] != choice[:-1]) | (masked[1:] != masked[:-1])]))
-            last = int(begin[-1])
-            held = [[choice[last:], masked[last:], points[last:], ids[last:]]]
+            turn, points, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            leading = points.view(np.uint64) >> np.uint64(64 - lead)
+            same = (turn == turn[-1]) & (leading == leading[-1])
+            last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0  # the run that isn't over begins here
+            held, waiting = [[turn[last:], points[last:], ids[last:]]], len(turn) - last
             if last:
-                yield links(begin[:-1], points[:last].view(np.uint64), ids[:last])
-        if held:
-            choice, masked, points, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            begin = np.flatnonzero(np.concatenate([[True], (choice[1:] != choice[:-1]) | (masked[1:] != masked[:-1])]))
-            yield links(begin, points.view(np.uint64), ids)
+                yield from links(turn[:last], points[:last].view(np.uint64), ids[:last])
+        if waiting:
+            turn, points, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield from links(turn, points.view(np.uint64), ids)
 
     return run
 
 
-def bucketed(points: DataFrame, choices: list[int], distances: tuple[int, ...]) -> DataFrame:
-    """u, v: ids of ``points`` (id, fp) that agree on all bits of one of the masks and link there."""
-    dealt = points.select("id", "fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in choices))).alias("choice", "masked"))
-    dealt = dealt.withColumn("rank", gray_rank(F.col("fp"))).repartition("choice", "masked").sortWithinPartitions("choice", "masked", "rank")
-    return dealt.select("choice", "masked", "fp", "id").mapInArrow(_bucket_links(distances), "u long, v long")
-
-
-def links(distinct: DataFrame, distance: int = 3, blocks: int = 5) -> DataFrame:
-    """u, v: links that join all of ``distinct`` (fp, each once) within ``distance`` bits, directly or through others."""
-    return bucketed(distinct.select(F.col("fp").alias("id"), "fp"), masks(distance, blocks), (distance,))
+def links(points: DataFrame, distance: int = 3) -> DataFrame:
+    """u, v: links of ids that join all of ``points`` (id, fp; fp each once) within ``distance`` bits, directly or through others."""
+    by, lead = turns(distance)
+    dealt = points.select("id", F.posexplode(F.array(*(turned(F.col("fp"), k) for k in by))).alias("turn", "turned"))
+    dealt = dealt.withColumn("rank", gray_rank(F.col("turned")))
+    ranged = dealt.repartitionByRange("turn", F.shiftright("rank", 64 - lead)).sortWithinPartitions("turn", "rank")
+    return ranged.select("turn", "turned", "id").mapInArrow(_range_links(distance), "u long, v long")
 
 
-def classes(docs: DataFrame, shingle: int = 3, distance: int = 3, blocks: int = 5) -> DataFrame:
+def classes(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable through links) for every row."""
     prints = scratch.written(fingerprints(docs, shingle))
     distinct = scratch.written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    node = components(links(distinct, distance, blocks))
+    node = components(links(distinct.select(F.col("fp").alias("id"), "fp"), distance))
     linked = distinct.join(node, distinct.fp == node.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     of = linked.join(least, "component").select(F.col("fp").alias("fp_"), "component_id")
@@ -292,22 +254,22 @@ def hexed(fp):
 
 #: Near duplicates in a corpus: shingles of five words, similarity 0.8.
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
-#: Masks of random bits, for buckets of farther fingerprints than blocks can bound.
-CHOICES, CHOSEN = 96, 16
 
 
-def random_masks(choices: int = CHOICES, chosen: int = CHOSEN, seed: int = 11) -> list[int]:
-    rng = np.random.default_rng(seed)
-    found = [sum(1 << int(b) for b in rng.permutation(64)[:chosen]) for _ in range(choices)]
-    return [m - (1 << 64) if m >> 63 else m for m in found]
+def _nearest(points: DataFrame, distance: int = 3) -> DataFrame:
+    """u, v: ids of ``points`` (id, fp) that join all whose fingerprints are equal or link."""
+    first = points.groupBy("fp").agg(F.min("id").alias("first"))
+    same = points.join(first, "fp").where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
+    return same.unionByName(links(first.select(F.col("first").alias("id"), "fp"), distance))
 
 
 def near_classes(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id of every row, linked where the Jaccard similarity of the shingle sets is ``similarity`` or more.
 
-    Copies at 0.8 differ in too many of 64 bits for fingerprints to find them all, so the shingle sets are joined exactly.
+    The Gray-order index finds the closest copies, whose shingle sets are then compared. Copies at 0.8 differ in too many of
+    64 bits for fingerprints to find them all, so what is not in one group yet goes through an exact join of the sets.
     """
-    return jaccard.classes(docs, shingle, similarity, _hashes)
+    return jaccard.classes(docs, shingle, similarity, _hashes, majority, _nearest)
 
 
 def deduplicated(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -189,7 +189,7 @@ def test_packed_sequences_hold_the_ids(spark, tokenizer):
 def test_local_search_never_loses(seed):
     rng = random.Random(seed)
     lengths = [rng.choice((rng.randint(1, 100), rng.randint(30, 60))) for _ in range(300)]
-    start = packing.best_fit(lengths, 100)
+    start = packing.next_fit(lengths, 100)
     out = packing.improve(start, lengths, 100)
     assert sorted(i for b in out for i in b) == list(range(300)) and all(sum(lengths[i] for i in b) <= 100 for b in out)
     assert packing.bins_needed(lengths, 100) <= len(out) <= len(start)
@@ -202,6 +202,44 @@ def test_local_search_finds_what_best_fit_misses():
     assert len(packing.pack([44, 24, 24, 22, 21, 17, 8, 8, 6, 6], 61)) == 3
 
 
+def test_local_search_against_all_packings():
+    def least(lengths, capacity, bins=()):
+        """The fewest bins, by trying every bin for every piece."""
+        if not lengths:
+            return len(bins)
+        best = least(lengths[1:], capacity, (*bins, lengths[0]))
+        for k in {x: k for k, x in enumerate(bins) if x + lengths[0] <= capacity}.values():
+            best = min(best, least(lengths[1:], capacity, (*bins[:k], bins[k] + lengths[0], *bins[k + 1 :])))
+        return best
+
+    rng = random.Random(8)
+    more = 0
+    for _ in range(60):
+        lengths = [rng.randint(1, 20) for _ in range(rng.randint(1, 8))]
+        more += len(packing.pack(lengths, 20)) - least(lengths, 20)
+    assert 0 <= more <= 3
+
+
+def test_the_search_does_the_packing(tokenizer):
+    rng = np.random.default_rng(4)
+    lengths = np.minimum(rng.lognormal(6.4, 1.2, 6000).astype(int) + 1, 4096).tolist()
+    start = packing.next_fit(lengths, 4096)
+    search = packing.Search(start, lengths, 4096)
+    squares = lambda fill: float((fill.astype(float) ** 2).sum())
+    before, put = [squares(search.fill)], search._open
+
+    def opened(b):
+        before.append(squares(search.fill))
+        put(b)
+
+    search._open = opened
+    out = search.run()
+    least = packing.bins_needed(lengths, 4096)
+    assert len(start) > 1.2 * least and len(out) <= 1.01 * least
+    assert set(search.steps) == {"move", "one for one", "two for one"} and search.steps.total() > 1000
+    assert before == sorted(before)
+
+
 def fingerprint(text, shingle):
     text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall("[^\x20\x09-\x0d]+", text)
@@ -263,13 +301,51 @@ def test_gray_index_against_all_pairs():
     assert least_reachable(range(len(points)), zip(x.tolist(), y.tolist(), strict=True)) == least_reachable(range(len(points)), near)
 
 
-def test_blocks_and_masks():
+def test_any_flips_leave_leading_bits():
     rng = random.Random(5)
-    for m in (simhash.masks(3, 5), simhash.masks(3, 4)):
+    for distance in (0, 1, 2, 3, 6):
+        by, lead = simhash.turns(distance)
         for _ in range(300):
-            flips = sum(1 << b for b in rng.sample(range(64), 3))
-            assert any(x & (1 << 64) - 1 & flips == 0 for x in m)
-    assert all(bin(x & (1 << 64) - 1).count("1") == simhash.CHOSEN for x in simhash.random_masks())
+            flips = sum(1 << b for b in rng.sample(range(64), distance))
+            assert any(((flips << k | flips >> 64 - k) & (1 << 64) - 1) >> 64 - lead == 0 for k in by)
+
+
+@pytest.mark.parametrize("held", [1, 64, 1 << 17])
+def test_index_over_ranges_against_all_pairs(spark, monkeypatch, held):
+    rng = np.random.default_rng(11)
+    points = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    points = np.unique(np.concatenate([points, *(points ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (400, k), dtype=np.uint64), axis=1) for k in (1, 3, 4))]))
+    by, lead = simhash.turns(3)
+    monkeypatch.setattr(simhash, "HELD", held)
+    turned = [points << np.uint64(k) | points >> np.uint64(64 - k) if k else points for k in by]
+    rows = sorted((t, int(gray), int(x), i) for t, own in enumerate(turned) for i, (x, gray) in enumerate(zip(own, gray_ranks(own), strict=True)))
+    columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array(np.array([r[2] for r in rows], np.uint64).view(np.int64)), pa.array([r[3] for r in rows], pa.int64())]
+    batches = pa.Table.from_arrays(columns, ["turn", "turned", "id"]).to_batches(max_chunksize=100)
+    got = [(u, v) for b in simhash._range_links(3)(batches) for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True)]
+    near = [(i, j) for i in range(len(points)) for j in np.flatnonzero(np.bitwise_count(points ^ points[i]) <= 3).tolist() if i < j]
+    assert all((int(points[u]) ^ int(points[v])).bit_count() <= 3 for u, v in got)
+    assert least_reachable(range(len(points)), got) == least_reachable(range(len(points)), near)
+    if held > 1:
+        links = simhash.links(spark.createDataFrame(list(enumerate(points.view(np.int64).tolist())), "id long, fp long"))
+        assert least_reachable(range(len(points)), [(r.u, r.v) for r in links.collect()]) == least_reachable(range(len(points)), near)
+
+
+def gray_ranks(points):
+    rank = points.copy()
+    for k in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(k)
+    return rank
+
+
+def test_index_prunes(spark):
+    """Upper nodes leave out nearly all pairs of the fingerprints of real texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    points = np.array([r.fp for r in simhash.fingerprints(docs).select("fp").distinct().collect()], np.int64).view(np.uint64)
+    points = points[np.argsort(gray_ranks(points))]
+    index = simhash.GrayIndex(points, 16)
+    index.forest(3, np.arange(len(points)))
+    everything = len(points) * (len(points) - 1) // 2
+    assert len(index.levels) >= 3 and index.pruned > 1000 and 0 < index.tested < everything / 100
 
 
 def test_near_copies_in_a_corpus(spark):
