@@ -12,6 +12,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import words
 
@@ -46,6 +47,43 @@ def _form_is_known(path: str) -> bool:
     return form["normalizer"] == NORMALIZER and cut.get("type") == "Sequence" and byte_level and parts[0] == SPLIT and plain and marks and not form["post_processor"]
 
 
+def _byte_table(changed: dict[int, int]) -> np.ndarray:
+    return np.array([changed.get(b, b) for b in range(256)], np.uint8)
+
+
+#: Line feeds become spaces, and with the second table A-Z lower-case.
+SPACED = _byte_table({10: 32})
+LOWERED = _byte_table({10: 32} | {c: c + 32 for c in range(65, 91)})
+CLOSING, ALNUM = (np.array([b < 128 and chr(b) in chars for b in range(256)]) for chars in (string.punctuation, string.ascii_letters + string.digits))
+
+
+def parted(texts: pa.Array) -> pa.Array:
+    """The texts in lower case (A-Z), with spaces for line feeds and before single closing punctuation.
+
+    The files lower-case and part the two themselves; so a word is looked up in one form only. Texts with the beginning of a
+    special token keep their case, as those tokens are told by it. Punctuation is parted where an ASCII letter or digit or a
+    letter from U+00C0 to U+00FF stands before it and white space or nothing follows.
+    """
+    texts = pc.fill_null(texts, "")
+    if texts.offset:
+        texts = pa.concat_arrays([texts])
+    _, buffer, data = texts.buffers()
+    if data is None or not len(texts):
+        return texts
+    offsets = np.frombuffer(buffer, np.int64 if pa.types.is_large_string(texts.type) else np.int32)[: len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[: offsets[-1]]
+    b = (SPACED if b"<|" in memoryview(raw).tobytes() else LOWERED)[raw]
+    edge = np.zeros(len(b) + 1, bool)
+    edge[offsets] = True
+    at = np.flatnonzero(CLOSING[b])
+    at = at[~edge[at] & (edge[at + 1] | (b[np.minimum(at + 1, len(b) - 1)] == 32))]
+    before, lead = b[at - 1], b[np.maximum(at - 2, 0)]
+    at = at[ALNUM[before] | ((lead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7))]
+    out = np.insert(b, at, 32)
+    moved = (offsets + np.searchsorted(at, offsets)).astype(offsets.dtype)
+    return type(texts).from_buffers(len(texts), pa.py_buffer(moved), pa.py_buffer(out), None, 0, 0)
+
+
 class WordTokenizer:
     """``tokenizers`` over whole texts, for files whose tokens never span or keep white space.
 
@@ -150,7 +188,8 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Offsets (one more than texts) and the ids of all texts, end to end, each with ``end_id`` after it; null is empty."""
-        offsets, flat = words.split(texts)
+        listed = pc.split_pattern(parted(texts), " ")
+        offsets, flat = listed.offsets.to_numpy().astype(np.int64), listed.flatten().dictionary_encode()
         distinct = flat.dictionary.to_pylist()
         if len(self.units) + len(distinct) > self.memo:
             self._drop()
@@ -179,5 +218,5 @@ def worker_tokenizer(path: str) -> WordTokenizer:
 def encoded(batches: Iterable[pa.RecordBatch], text: str, path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with the offsets and ids of their texts, ``end_id`` after each text."""
     tokenizer = worker_tokenizer(path)
-    for batch in words.slices(batches, text):
+    for batch in words.gathered(batches, text):
         yield batch, *tokenizer.encode(batch.column(text), end_id)

@@ -24,6 +24,21 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             at = end
 
 
+def gathered(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches joined and cut so that each holds about ``limit`` bytes of text, one row at least."""
+    held, size = [], 0
+    for batch in slices(batches, text, limit):
+        own = pc.sum(pc.binary_length(batch.column(text))).as_py() or 0
+        if held and size + own > limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += own
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def split(texts: pa.Array, ascii_space: bool = False) -> tuple[np.ndarray, pa.DictionaryArray]:
     """Words of each text: offsets of the texts in the words, and the words as a dictionary.
 
