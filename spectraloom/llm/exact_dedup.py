@@ -1,15 +1,15 @@
 """Operator 5: exact duplicates by content sort.
 
 Two texts are equal when they are the same after every character of ``[\\x20\\x09-\\x0D]`` is deleted.
-Rows are range-partitioned by sampled splitters over the start of the normalised bytes and their
-SHA-256, sorted externally inside each range, and neighbours are compared byte for byte over whole texts.
-Of equal rows the one with the most code points in the original text stays, then the one with the
-smallest doc_id.
+Rows are range-partitioned by sampled splitters over the start of the normalised bytes, and those that share the
+start by their SHA-256; inside a range the whole normalised bytes are sorted externally, and neighbours are compared
+byte for byte. Of equal rows the one with the most code points in the original text stays, then the one with the
+smallest doc_id. What a row belongs to, it has from the run it stood in.
 
 Scale: the splitters' sample holds 64 bytes and a digest a row, never texts. Before the shuffle each
-task folds the equal rows of about 16 MB into one, so a group that holds a third of the table sends a
-text once per 16 MB; sorting spills. Members are joined with their group on the digest, in rows of
-about 60 bytes, as a join whose large keys Spark can split.
+task folds the equal rows of about 16 MB into one, which lists the members' ids, so a group that holds a third of the table sends a
+text once per 16 MB; sorting spills. Texts move once. A run is read as a stream; only runs of several such rows
+send those rows' ids on, to be joined with what the end of the run has told, in a join whose large keys Spark can split.
 
 Cases: null text counts as empty; all empty and all-white-space texts are one group; null doc_ids
 come after all others in ties; rows with the same doc_id and text are a group in which one row is
@@ -23,7 +23,8 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,32 +107,95 @@ def _neighbours(doc: str, text: str):
     return run
 
 
+def _sorted(folded: DataFrame, content: Column) -> DataFrame:
+    """Equal contents adjacent: ranges of the first bytes (then the digest), each sorted by the whole content."""
+    return folded.repartitionByRange("start", "digest").sortWithinPartitions(content)
+
+
 def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The row of each group that stays, with ``digest`` (binary) and ``size``; all columns of ``docs``."""
     scratch.small_batches(docs.sparkSession)
     more = [("start", T.BinaryType()), ("digest", T.BinaryType()), ("size", T.LongType())]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(*x) for x in more)])
     folded = docs.mapInArrow(_folded(doc, text), schema)
-    ordered = folded.repartitionByRange("start", "digest").sortWithinPartitions("start", "digest", F.col(text))
-    return ordered.mapInArrow(_neighbours(doc, text), schema).drop("start")
+    content = F.translate(F.coalesce(F.col(text), F.lit("")), WHITE.decode(), "")
+    return _sorted(folded, content).mapInArrow(_neighbours(doc, text), schema).drop("start")
+
 
+_MEMBERS = pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int32())]))
 
-def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each group of equal texts in a slice: the normalised bytes, their start and digest, and the members."""
     for batch in words.slices(batches, "text"):
-        found = [hashlib.sha256(x).digest() for x in normalised(batch.column("text"))]
-        sizes = pc.cast(pc.utf8_length(pc.fill_null(batch.column("text"), "")), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(found, pa.binary())], names=["doc_id", "n_points", "digest"])
+        found: dict[bytes, list] = {}
+        for data, (n, doc) in zip(normalised(batch.column("text")), _ranks(batch, "doc_id", "text"), strict=True):
+            found.setdefault(data, []).append((doc, n))
+        keys = list(found)
+        columns = [pa.array(keys, pa.binary()), pa.array([x[:START] for x in keys], pa.binary()), pa.array([hashlib.sha256(x).digest() for x in keys], pa.binary()), pa.array(list(found.values()), _MEMBERS)]
+        yield pa.RecordBatch.from_arrays(columns, names=["content", "start", "digest", "members"])
+
+
+_RUNS = "part long, run long, nth long, digest binary, members array<struct<doc_id: long, n: int>>, keep_id long, keep_nth long, keep_pos int, group_size long"
+
+
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the run they stand in. A run of one row tells at once what stays; one of several has a last row for that, without members."""
+    part, run, nth, size = TaskContext.get().partitionId(), 0, 0, 0
+    content = best = None  # best: the rank of the member that stays, and its place
+    names = [x.split()[0] for x in _RUNS.split(", ") if not x.startswith("n:")]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), _MEMBERS, pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    out: list[tuple] = []
+    waiting: tuple = ()  # the run's first row, while it has no other
+
+    def close() -> None:
+        told = (best[0][1], best[1], best[2], size)
+        out.append((*waiting, *told) if waiting else (part, run, None, None, None, *told))
+
+    def batch_of() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+        out.clear()
+        return made
+
+    for whole in batches:
+        for batch in words.slices([whole], "content"):
+            for here, digest, members in zip(batch.column("content").to_pylist(), batch.column("digest").to_pylist(), batch.column("members").to_pylist(), strict=True):
+                if content is not None and here == content:
+                    if waiting:
+                        out.append((*waiting, None, None, None, None))
+                        waiting = ()
+                    nth += 1
+                    out.append((part, run, nth, digest, members, None, None, None, None))
+                else:
+                    if content is not None:
+                        close()
+                    content, run, nth, size, best = here, run + 1, 0, 0, None
+                    waiting = (part, run, 0, digest, members)
+                size += len(members)
+                for pos, x in enumerate(members):
+                    if best is None or _better((x["n"], x["doc_id"]), best[0]):
+                        best = (x["n"], x["doc_id"]), nth, pos
+            if out:
+                yield batch_of()
+    if content is not None:
+        close()
+        yield batch_of()
 
 
 def membership(docs: DataFrame) -> DataFrame:
     """For every row: doc_id, keep_id, group_size, kept, text_sha256."""
+    scratch.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    stay = groups(rows).select("digest", F.col("doc_id").alias("keep_id"), F.length("text").alias("keep_points"), F.col("size").alias("group_size"))
-    # Rows alike in everything count once here and are told apart again below.
-    members = rows.mapInArrow(_digests, "doc_id long, n_points long, digest binary").groupBy("digest", "doc_id", "n_points").agg(F.count("*").alias("alike"))
-    best = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.coalesce("keep_points", F.lit(0)))
-    joined = members.join(stay, "digest").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("alike").cast("int"))))
-    return joined.select("doc_id", "keep_id", "group_size", (best & (F.col("nth") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    listed = rows.mapInArrow(_listed, "content binary, start binary, digest binary, members array<struct<doc_id: long, n: int>>")
+    found = scratch.written(_sorted(listed, F.col("content")).select("content", "digest", "members").mapInArrow(_runs, _RUNS))
+    told = ["keep_id", "keep_nth", "keep_pos", "group_size"]
+    single = found.where("members is not null and group_size is not null").select("nth", "digest", "members", *told)
+    ends = found.where("members is null").select("part", "run", *told)
+    several = found.where("group_size is null").select("part", "run", "nth", "digest", "members").join(ends, ["part", "run"])
+    whole = single.unionByName(several.select(single.columns))
+    each = whole.select("nth", "digest", *told, F.posexplode("members").alias("pos", "member"))
+    kept = (F.col("nth") == F.col("keep_nth")) & (F.col("pos") == F.col("keep_pos"))
+    return each.select(F.col("member.doc_id").alias("doc_id"), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def deduplicated(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
