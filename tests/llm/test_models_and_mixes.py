@@ -193,6 +193,27 @@ def test_mixing_against_sql(spark, tmp_path):
     assert mixed.count() >= out.agg(F.sum("copies")).first()[0]  # rows alike are taken equally often
 
 
+def test_rows_alike_are_mixed_as_decided(spark):
+    rng = random.Random(6)
+    rows = [(i % 7 if i % 3 else None, " ".join(["w"] * rng.randint(1, 3)), rng.choice("abcdef")) for i in range(400)]
+    docs = docs_of(spark, rows).withColumns({"key": F.lit("k"), "number": F.monotonically_increasing_id(), "often": F.lit(1), "more": F.create_map(F.lit("a"), F.lit(1))})
+    decided = mixing.decisions(docs).agg(F.sum(F.col("size") * F.col("copies"))).first()[0]
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns
+    assert mixed.agg(F.sum(mixing.size_of(F.col("text")))).first()[0] == decided <= sum(len(t.split()) for _, t, _ in rows)
+    assert max(r["count"] for r in mixed.groupBy("number").count().collect()) <= 3
+
+
+def test_the_budget_ends_alike_however_ranges_are_cut(spark, monkeypatch):
+    rng = random.Random(7)
+    docs = docs_of(spark, [(i, "w " * rng.randint(0, 40), rng.choice("aaaabcd")) for i in range(600)])
+    taken = lambda: sorted((r.doc_id, r.copies) for r in mixing.decisions(docs).collect())
+    once = taken()
+    monkeypatch.setattr(mixing, "SORTED", 1)
+    monkeypatch.setattr(mixing, "RANGES", 4)
+    assert taken() == once
+
+
 def test_mixing_of_little(spark):
     assert mixing.decisions(docs_of(spark, [])).count() == 0
     one = mixing.decisions(docs_of(spark, [(1, "a b", "s"), (2, None, "s")])).collect()

@@ -396,6 +396,31 @@ def test_exact_dedup(spark):
     assert sorted(r.text or "" for r in exact_dedup.deduplicated(docs).collect()) == sorted(min(g, key=key).text or "" for g in brute_exact(rows).values())
 
 
+def test_runs_over_many_slices(spark, monkeypatch):
+    """Runs of one and of several rows, with ties and null ids, from slices of a few rows each."""
+    rng = random.Random(12)
+    texts = [rng.choice(["a b", "ab", " a  b", "", None, "c", "c\t", "x" * 200]) for _ in range(120)]
+    rows = [(rng.choice([None, *range(40)]), t) for t in texts]
+    monkeypatch.setattr(exact_dedup.words, "SLICE_BYTES", 1)
+    table = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows]})
+    listed = pa.Table.from_batches([x for b in table.to_batches(max_chunksize=5) for x in exact_dedup._listed([b])])
+    listed = listed.sort_by("content").select(["content", "digest", "members"])
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 3)  # noqa: N815
+
+    monkeypatch.setattr(exact_dedup, "TaskContext", Task)
+    out = [r for b in exact_dedup._runs(listed.to_batches(max_chunksize=3)) for r in b.to_pylist()]
+    ends = {r["run"]: r for r in out if r["group_size"] is not None}
+    groups = {}
+    for i, t in rows:
+        groups.setdefault("".join((t or "").split()), []).append((-len(t or ""), i is None, i or 0))
+    assert len(ends) == len(groups) and sorted(r["group_size"] for r in ends.values()) == sorted(map(len, groups.values()))
+    assert sorted((r["keep_id"] is None, r["keep_id"] or 0) for r in ends.values()) == sorted(min(g)[1:] for g in groups.values())
+    assert sum(len(r["members"]) for r in out if r["members"] is not None) == len(rows)
+
+
 def test_exact_dedup_of_many_copies_over_many_batches(spark, monkeypatch):
     docs = make(spark, ["same text"] * 5000 + ["other"] * 3).repartition(7)
     got = exact_dedup.membership(docs).groupBy("keep_id", "group_size").count().collect()
