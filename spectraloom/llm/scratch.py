@@ -1,7 +1,9 @@
 """Intermediate tables in the folder that all executors share.
 
 Lineage is cut by writing a table and reading it again. The folder is the one named in
-``spark.checkpoint.dir``; only where that is unset (tests, notebooks) a local one is made.
+``spark.checkpoint.dir``; only where that is unset and Spark runs on one machine (tests, notebooks) a local one is
+made, on a cluster its absence is an error. Results are lazy and read these tables, so they stay until
+``clear`` removes all that the application has written.
 """
 
 from __future__ import annotations
@@ -14,12 +16,25 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL: dict[str, str] = {}
 
 
+def root(spark: SparkSession) -> str:
+    """The application's own path under the shared folder."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder; executors need one that all of them share")
+        shared = _LOCAL.setdefault("root", tempfile.mkdtemp(prefix="spectraloom-"))
+    return f"{shared.rstrip('/')}/spectraloom/{spark.sparkContext.applicationId}"
+
+
 def folder(spark: SparkSession) -> str:
     """A new, empty path under the shared folder."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = _LOCAL.setdefault("root", tempfile.mkdtemp(prefix="spectraloom-"))
-    return f"{root.rstrip('/')}/spectraloom/{uuid.uuid4().hex}"
+    return f"{root(spark)}/{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that this application has written here; results that aren't collected or written yet are lost."""
+    remove(spark, root(spark))
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
