@@ -8,7 +8,7 @@ smallest doc_id. What a row belongs to, it has from the run it stood in.
 
 Scale: the splitters' sample holds 64 bytes and a digest a row, never texts. Before the shuffle each
 task folds the equal rows of about 16 MB into one, which lists the members' ids, so a group that holds a third of the table sends a
-text once per 16 MB; sorting spills. Texts move once. A run is read as a stream; only runs of several such rows
+text once per 16 MB; sorting spills. A text moves once for the membership, and as it is beside its normalised bytes for whole rows. A run is read as a stream; only runs of several such rows
 send those rows' ids on, to be joined with what the end of the run has told, in a join whose large keys Spark can split.
 
 Cases: null text counts as empty; all empty and all-white-space texts are one group; null doc_ids
@@ -48,7 +48,7 @@ def _ranks(batch: pa.RecordBatch, doc: str, text: str) -> list[tuple]:
 
 
 def _folded(doc: str, text: str):
-    """The best row of each group of equal texts in a slice, with the start, digest and group's size."""
+    """The best row of each group of equal texts in a slice, with the normalised bytes, their start and digest, and the group's size."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches, text):
@@ -62,8 +62,8 @@ def _folded(doc: str, text: str):
                     if _better(ranks[i], ranks[own[0]]):
                         own[0] = i
             kept = batch.take(pa.array([i for i, _ in groups.values()], pa.int64()))
-            more = [pa.array([x[:START] for x in groups], pa.binary()), pa.array([hashlib.sha256(x).digest() for x in groups], pa.binary()), pa.array([n for _, n in groups.values()], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*kept.columns, *more], names=[*kept.schema.names, "start", "digest", "size"])
+            more = [pa.array(list(groups), pa.binary()), pa.array([x[:START] for x in groups], pa.binary()), pa.array([hashlib.sha256(x).digest() for x in groups], pa.binary()), pa.array([n for _, n in groups.values()], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *more], names=[*kept.schema.names, "content", "start", "digest", "size"])
 
     return run
 
@@ -80,10 +80,11 @@ def _neighbours(doc: str, text: str):
 
         for whole in batches:
             for batch in words.slices([whole], text):
+                bare = batch.drop_columns(["content", "start"])
                 out: list[int] = []
                 sizes: list[int] = []
                 at = -1  # the place of the run's best row in this batch; -1: in an earlier one
-                for i, (here, its, n) in enumerate(zip(normalised(batch.column(text)), _ranks(batch, doc, text), batch.column("size").to_pylist(), strict=True)):
+                for i, (here, its, n) in enumerate(zip(batch.column("content").to_pylist(), _ranks(batch, doc, text), batch.column("size").to_pylist(), strict=True)):
                     if data is not None and here == data:
                         size += n
                         if _better(its, rank):
@@ -97,10 +98,10 @@ def _neighbours(doc: str, text: str):
                             yield closed()
                     data, rank, at, size = here, its, i, n
                 if out:
-                    done = batch.take(pa.array(out, pa.int64()))
+                    done = bare.take(pa.array(out, pa.int64()))
                     yield done.set_column(done.schema.get_field_index("size"), "size", pa.array(sizes, pa.int64()))
                 if at >= 0:
-                    row = batch.take(pa.array([at], pa.int64()))
+                    row = bare.take(pa.array([at], pa.int64()))
         if data is not None:
             yield closed()
 
@@ -115,11 +116,9 @@ def _sorted(folded: DataFrame, content: Column) -> DataFrame:
 def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The row of each group that stays, with ``digest`` (binary) and ``size``; all columns of ``docs``."""
     scratch.small_batches(docs.sparkSession)
-    more = [("start", T.BinaryType()), ("digest", T.BinaryType()), ("size", T.LongType())]
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(*x) for x in more)])
-    folded = docs.mapInArrow(_folded(doc, text), schema)
-    content = F.translate(F.coalesce(F.col(text), F.lit("")), WHITE.decode(), "")
-    return _sorted(folded, content).mapInArrow(_neighbours(doc, text), schema).drop("start")
+    schema = lambda *names: T.StructType([*docs.schema.fields, *(T.StructField(x, T.LongType() if x == "size" else T.BinaryType()) for x in names)])
+    folded = docs.mapInArrow(_folded(doc, text), schema("content", "start", "digest", "size"))
+    return _sorted(folded, F.col("content")).mapInArrow(_neighbours(doc, text), schema("digest", "size"))
 
 
 _MEMBERS = pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int32())]))
