@@ -5,7 +5,7 @@ one order for all texts, rarest first: those that are frequent in a sample of te
 link share a shingle among the first ``n - ceil(similarity n) + 1`` of both (prefix filter), so they meet in the bucket of one.
 The order decides about speed only; any order finds all links. In a bucket a pair is left out if its sizes (length filter), the places of the
 shingle (positional filter) or 256 parity bits (two sets differ in at least as many shingles as bits) rule the similarity out; what is
-left is compared exactly by whole sets. None of the filters loses a link.
+left is compared by parity bits in proportion to the set (4 a shingle), and then exactly by whole sets. None of the filters loses a link.
 
 Links are looked for in rounds, each among texts that no round before has brought into one component; others can add nothing.
 First come pairs that the caller proposes (near fingerprints). Then, in each of ``CHAINS`` rounds, a bucket's texts stand in an order of
@@ -13,7 +13,7 @@ its own and each is compared with the next: in its buckets a text of a cluster m
 in the cluster. Last, all pairs are tried whose texts are still apart.
 
 Scale: the sets are written once (8 bytes a shingle, about 1.2 x the texts); about a fifth of the shingles move with 12 further bytes, then only those
-that several texts share. Whole sets move for texts of a pair that no filter rules out. A cluster costs its size, but texts
+that several texts share. For pairs that no filter rules out the parity bits move (half a byte a shingle), and for those that these leave the whole sets. A cluster costs its size, but texts
 that are nearly as alike as ``similarity``, and are not linked by others, are compared pair by pair.
 
 Cases: equal sets are one node; texts without words have the empty set, so all of them are one node.
@@ -54,11 +54,12 @@ def _sets(shingle: int, hashes: Callable, fingerprint: Callable):
             texts = pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist()
             sets = [np.unique(np.array(hashes(t, shingle, xxh64_intdigest), "<u8")) for t in texts]
             fps = fingerprint(sets).view(np.int64)
+            sigs = pa.array([signature(x) for x in sets], pa.binary())
             sets = [x.tobytes() for x in sets]
             ids = np.array([xxh64_intdigest(s) for s in sets], np.uint64).view(np.int64)
             sets = pa.array(sets, pa.binary())
             size = pc.binary_length(sets).to_numpy().astype(np.int32) // 8
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids), sets, pa.array(size), pa.array(fps), *(pa.array(np.ascontiguousarray(x)) for x in marks(sets).T)], names=["doc_id", "id", "set", "n", "fp", *MARKS])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids), sets, sigs, pa.array(size), pa.array(fps), *(pa.array(np.ascontiguousarray(x)) for x in marks(sets).T)], names=["doc_id", "id", "set", "sig", "n", "fp", *MARKS])
 
     return run
 
@@ -152,6 +153,19 @@ def marks(sets: pa.Array) -> np.ndarray:
     return np.packbits((count & 1).astype(np.uint8), axis=1, bitorder="little").view("<i8")
 
 
+def signature(hashes: np.ndarray) -> bytes:
+    """Parity bits of a set of hashes, at least 4 a hash; their number is a power of two from 256 on."""
+    size = 1 << max(8, (4 * len(hashes) - 1).bit_length())
+    count = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """In at least how many hashes two sets differ, by their signatures; the longer one is folded to the shorter's length."""
+    a, b = sorted((np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+
+
 def _candidates(similarity: float, every: bool):
     """u, v of two components in each bucket that no filter rules out: texts that follow each other, or with ``every`` all pairs."""
 
@@ -195,28 +209,52 @@ def _candidates(similarity: float, every: bool):
     return run
 
 
-def _alike(similarity: float):
+def _kept(test: Callable[[pa.RecordBatch], list[bool]]):
+    """The pairs u, v of the rows that pass."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), "<u8") for x in (a, b))
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(common >= similarity * (len(a) + len(b) - common) - 1e-9)
-            keep = pa.array(keep, pa.bool_())
+            keep = pa.array(test(batch), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(x).filter(keep) for x in ("u", "v")], names=["u", "v"])
 
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) of ``sets`` (id, set) that are alike; only the sets of ``pairs`` move."""
-    pairs = scratch.written(pairs)
+def _perhaps(similarity: float):
+    def test(batch: pa.RecordBatch) -> list[bool]:
+        both = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
+        most = both - 2 * np.ceil(similarity / (1 + similarity) * both - 1e-9).astype(np.int64)
+        return [least_difference(a, b) <= m for a, b, m in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), most.tolist(), strict=True)]
+
+    return test
+
+
+def _alike(similarity: float):
+    def test(batch: pa.RecordBatch) -> list[bool]:
+        keep = []
+        for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+            a, b = (np.frombuffer(x.as_buffer(), "<u8") for x in (a, b))
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            keep.append(common >= similarity * (len(a) + len(b) - common) - 1e-9)
+        return keep
+
+    return test
+
+
+def _beside(pairs: DataFrame, sets: DataFrame, what: str) -> DataFrame:
+    """The pairs (u, v) with n and column ``what`` of both sets; only those of ``pairs`` move."""
     ids = scratch.written(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
     small = ids.count() <= MOST_BROADCAST
-    own = sets.select("id", "set").join(F.broadcast(ids) if small else ids, "id", "left_semi").groupBy("id").agg(F.first("set").alias("set"))
-    a, b = (own.select(F.col("id").alias(x), F.col("set").alias(y)) for x, y in (("u", "a"), ("v", "b")))
-    return pairs.join(a, "u").join(b, "v").mapInArrow(_alike(similarity), "u long, v long")
+    own = sets.select("id", "n", what).join(F.broadcast(ids) if small else ids, "id", "left_semi").groupBy("id").agg(F.first(F.struct("n", what)).alias("own"))
+    a, b = (own.select(F.col("id").alias(x), F.col("own.n").alias(f"n{y}"), F.col(f"own.{what}").alias(y)) for x, y in (("u", "a"), ("v", "b")))
+    return pairs.join(a, "u").join(b, "v")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of ``sets`` (id, n, sig, set) that are alike."""
+    pairs = scratch.written(pairs)
+    left = scratch.written(_beside(pairs, sets, "sig").mapInArrow(_kept(_perhaps(similarity)), "u long, v long"))
+    return _beside(left, sets, "set").mapInArrow(_kept(_alike(similarity)), "u long, v long")
 
 
 def linked(sets: DataFrame, similarity: float, propose: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -239,7 +277,7 @@ def linked(sets: DataFrame, similarity: float, propose: Callable[[DataFrame], Da
 def classes(docs: DataFrame, shingle: int, similarity: float, hashes: Callable, fingerprint: Callable, propose: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable through links) of every row; ``hashes`` gives a text's shingles."""
     scratch.small_batches(docs.sparkSession)
-    columns = "doc_id long, id long, set binary, n int, fp long, " + ", ".join(f"{b} long" for b in MARKS)
+    columns = "doc_id long, id long, set binary, sig binary, n int, fp long, " + ", ".join(f"{b} long" for b in MARKS)
     sets = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sets(shingle, hashes, fingerprint), columns)
     sets = scratch.written(sets)
     node = linked(sets, similarity, propose)

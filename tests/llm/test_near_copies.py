@@ -2,7 +2,9 @@
 
 import random
 
-from spectraloom.llm import simhash
+import numpy as np
+
+from spectraloom.llm import jaccard, simhash
 from tests.llm.test_text_operators import least_reachable, make
 
 VOCABULARY = [f"w{i}" for i in range(5000)]
@@ -55,3 +57,12 @@ def test_components_against_all_pairs(spark):
     at = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in pairs if sets[i]]
     assert sum(0.8 <= x <= 0.9 for x in at) > 50
     assert groups(spark, texts) == least_reachable(range(len(texts)), pairs)
+
+
+def test_signatures_never_say_too_much():
+    rng = np.random.default_rng(2)
+    for _ in range(400):
+        n, common = int(rng.integers(0, 3000)), rng.uniform(0, 1)
+        both = rng.integers(0, 2**64, int(n * common), dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**64, int(rng.integers(0, n - len(both) + 1)), dtype=np.uint64)])) for _ in range(2))
+        assert jaccard.least_difference(jaccard.signature(a), jaccard.signature(b)) <= len(np.setxor1d(a, b))
