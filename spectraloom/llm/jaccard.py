@@ -3,6 +3,7 @@
 Two texts link where the Jaccard similarity of their shingle sets (XXH64) is at least ``similarity``. Shingles have
 one order for all texts, rarest first: those that are frequent in a sample of texts come last, the others by their hash. Texts that
 link share a shingle among the first ``n - ceil(similarity n) + 1`` of both (prefix filter), so they meet in the bucket of one.
+Of buckets that hold the same texts only the one of the first shingle stays, as pairs that meet in one of them meet in it no later.
 The order decides about speed only; any order finds all links. In a bucket a pair is left out if its sizes (length filter), the places of the
 shingle (positional filter) or 256 parity bits (two sets differ in at least as many shingles as bits) rule the similarity out; what is
 left is compared by parity bits in proportion to the set (4 a shingle), and then exactly by whole sets. None of the filters loses a link.
@@ -135,14 +136,27 @@ def _buckets(batches: Iterable[pa.RecordBatch], names: tuple[str, ...]) -> Itera
         yield closed([np.concatenate(x) for x in zip(*held, strict=True)])
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit mix of ids (the finaliser of SplitMix64), whose sum stands for a set of them."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of hashes that several ids have, each id once."""
+    """The rows of hashes that several ids have, each id once; ``texts`` stands for a bucket's ids and is told in its first row."""
     for _, (hashes, ids, places) in _buckets(batches, ("hash", "id", "place")):
         once = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (ids[1:] != ids[:-1])])
         hashes, ids, places = hashes[once], ids[once], places[once]
         same = hashes[1:] == hashes[:-1]
         several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (hashes, ids, places)], names=["hash", "id", "place"])
+        hashes, ids, places = hashes[several], ids[several], places[several]
+        begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+        sums = np.zeros(len(hashes), np.uint64)
+        sums[begin] = np.add.reduceat(_mixed(ids.view(np.uint64)), begin) if len(begin) else 0
+        head = np.ones(len(hashes), bool)
+        head[begin] = False
+        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (hashes, ids, places)), pa.array(sums.view(np.int64), mask=head)], names=["hash", "id", "place", "texts"])
 
 
 def marks(sets: pa.Array) -> np.ndarray:
@@ -260,8 +274,11 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def linked(sets: DataFrame, similarity: float, propose: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """node, component of the ids of ``sets`` (id, set, n, fp and MARKS) that link with others; ``propose`` gives pairs for (id, fp)."""
     prefix = sets.select("id", "set").mapInArrow(_prefixes(similarity, frequent(sets)), "hash long, id long, place int")
-    shared = scratch.written(prefix.repartition("hash").sortWithinPartitions("hash", "id").mapInArrow(_shared, "hash long, id long, place int"))
-    points = scratch.written(shared.join(sets.select("id", "n", *MARKS).distinct(), "id"))
+    shared = scratch.written(prefix.repartition("hash").sortWithinPartitions("hash", "id").mapInArrow(_shared, "hash long, id long, place int, texts long"))
+    # Of the buckets with the same texts (their sum, and the least of them) the one whose shingle comes first.
+    first = shared.where("texts is not null").groupBy("texts", "id").agg(F.min_by("hash", F.struct("place", "hash")).alias("hash")).select("hash")
+    kept = shared.join(first, "hash", "left_semi").select("hash", "id", "place")
+    points = scratch.written(kept.join(sets.select("id", "n", *MARKS).distinct(), "id"))
     node = scratch.written(components(scratch.written(verified(propose(sets.select("id", "fp").distinct()), sets, similarity))))
     for k in range(CHAINS + 1):
         every = k == CHAINS
