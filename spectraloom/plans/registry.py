@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import qc_queries, rollup_queries, stats_queries  # noqa: F401
+    from . import qc_queries, reader_queries, rollup_queries, stats_queries  # noqa: F401

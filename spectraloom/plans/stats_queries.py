@@ -176,6 +176,38 @@ def wilcoxon(spark, sf_dir):
     return rounded(_tested(spark, sf_dir, "wilcoxon"), "stat")
 
 
+# Two-sided p of Student's t for whole degrees of freedom, by its finite sum over the angle with tangent |t| / sqrt(df).
+TAILS = """a AS (SELECT *, atan(abs(stat) / sqrt(df)) AS th FROM t), p AS (SELECT *, 1 - CASE WHEN df % 2 = 0
+    THEN sin(th) * (1 + coalesce(list_sum(list_transform(range(1, df // 2), lambda k: cos(th) ** (2 * k) * exp(lgamma(k + 0.5) - lgamma(k + 1.0)) / sqrt(pi()))), 0))
+    ELSE 2 / pi() * (th + CASE WHEN df > 1 THEN sin(th) * cos(th) * (1 + coalesce(list_sum(list_transform(range(1, (df - 1) // 2), lambda k: cos(th) ** (2 * k) * exp(lgamma(k + 1.0) - lgamma(k + 1.5)) * sqrt(pi()) / 2)), 0)) ELSE 0 END) END AS p_value FROM a)"""
+STUDENT = f"t AS (SELECT var_id, dc, d1, nc, ne, nc + ne - 2 AS df, (me - mc) / sqrt(((nc - 1) * vc + (ne - 1) * ve) / (nc + ne - 2) * (1.0 / nc + 1.0 / ne)) AS stat FROM g), {TAILS}"
+RATES = "r AS (SELECT *, p_value * count(*) OVER () / row_number() OVER (ORDER BY p_value, var_id) AS q FROM p), b AS (SELECT *, greatest(0, least(1, min(q) OVER (ORDER BY p_value, var_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))) AS q_value FROM r)"
+SAMPLES = "o AS (SELECT count(*) FILTER (label = 0) AS oc, count(*) FILTER (label = 1) AS oe FROM embeddings)"
+
+
+def _student(spark, sf_dir):
+    return de.run_de(dense(spark, sf_dir), "protein", "label", "0", "1", stat_method="student", n_resamples=None, fdr="bh")
+
+
+@query("run_de_student", f"""WITH {DENSE}, {GROUPS}, {STUDENT}, {RATES}, {SAMPLES}
+  SELECT var_id AS features, round(dc, 5) + 0.0 AS repr_ctrl, round(d1, 5) + 0.0 AS repr_expr, round(nc * 100.0 / oc, 5) AS pct_ctrl, round(ne * 100.0 / oe, 5) AS pct_expr, round(d1 - dc, 5) + 0.0 AS log2fc, round(stat, 5) + 0.0 AS stat, round(p_value, 6) + 0.0 AS p_value, round(q_value, 6) + 0.0 AS q_value FROM b, o""")
+def run_de_student(spark, sf_dir):
+    t = _student(spark, sf_dir).table
+    return rounded(rounded(t, "repr_ctrl", "repr_expr", "pct_ctrl", "pct_expr", "log2fc", "stat"), "p_value", "q_value", digits=6)
+
+
+@query("run_de_volcano", f"""WITH {DENSE}, {GROUPS}, {STUDENT}, {RATES}
+  SELECT var_id AS features, round(-log10(greatest(p_value, 1e-300)), 4) + 0.0 AS logp, CASE WHEN p_value < 0.5 AND d1 - dc >= 0.01 THEN 'UP' WHEN p_value < 0.5 AND d1 - dc <= -0.01 THEN 'DOWN' ELSE 'nonDE' END AS de FROM b""")
+def run_de_volcano(spark, sf_dir):
+    return rounded(_student(spark, sf_dir).volcano(0.01, 0.5, "p_value").select("features", "logp", "de"), "logp", digits=4)
+
+
+@query("run_de_top", f"""WITH {DENSE}, {GROUPS}, c AS (SELECT var_id AS features, d1 - dc AS f FROM g) SELECT features, round(f, 5) + 0.0 AS log2fc FROM (
+  (SELECT * FROM c ORDER BY f DESC, features LIMIT 7) UNION ALL (SELECT * FROM c ORDER BY f, features LIMIT 7))""")
+def run_de_top(spark, sf_dir):
+    return rounded(_student(spark, sf_dir).top(7).select("features", "log2fc"), "log2fc")
+
+
 @query("de_simple_bh")
 def de_simple(spark, sf_dir):
     out = de.run_de(dense(spark, sf_dir), "protein", "label", "0", "1", n_resamples=None, fdr="bh")
@@ -272,7 +304,9 @@ def corr_spearman(spark, sf_dir):
     return rounded(multivariate.corr(profiles(spark, sf_dir)["peptide"].x, method="spearman"), "r")
 
 
-@query("corr_kendall")
+@query("corr_kendall", f"""WITH {LINES}, {PROFILES}, j AS (SELECT a.obs_id AS obs_i, b.obs_id AS obs_j, var_id, a.value AS a, b.value AS b FROM profiles a JOIN profiles b USING (var_id)),
+  s AS (SELECT x.obs_i, x.obs_j, sum(sign(x.a - y.a) * sign(x.b - y.b)) AS score, count(*) FILTER (x.a <> y.a) AS na, count(*) FILTER (x.b <> y.b) AS nb FROM j x JOIN j y ON x.obs_i = y.obs_i AND x.obs_j = y.obs_j AND x.var_id < y.var_id GROUP BY ALL)
+  SELECT obs_i, obs_j, round(score / sqrt(na::DOUBLE * nb), 5) + 0.0 AS r FROM s""")
 def corr_kendall(spark, sf_dir):
     return rounded(multivariate.corr(profiles(spark, sf_dir)["peptide"].x, method="kendall"), "r")
 
