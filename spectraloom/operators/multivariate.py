@@ -30,16 +30,23 @@ def _correlated(pairs: DataFrame) -> DataFrame:
 
 
 def _tau(own: pd.DataFrame) -> pd.DataFrame:
-    """Kendall's tau-b of one pair of samples, by sorting and a merge count in blocks of comparisons."""
+    """Kendall's tau-b of one pair of samples, by sorting and the count of what merging has to turn round."""
     a, b = own["a"].to_numpy(), own["b"].to_numpy()
-    n, score = len(a), 0.0
-    for i in range(0, n, 512):
-        da, db = np.sign(a[i : i + 512, None] - a[None, :]), np.sign(b[i : i + 512, None] - b[None, :])
-        score += float((da * db).sum())
-    pairs = n * (n - 1) / 2
-    tied = lambda v: sum(c * (c - 1) / 2 for c in np.unique(v, return_counts=True)[1])
+    order = np.lexsort((b, a))
+    tied = lambda *v: sum(c * (c - 1) / 2 for c in np.unique(np.stack(v), axis=1, return_counts=True)[1])
+    pairs = len(a) * (len(a) - 1) / 2
+    score = pairs - tied(a) - tied(b) + tied(a, b) - 2 * _inversions(b[order])[0]
     below = np.sqrt((pairs - tied(a)) * (pairs - tied(b)))
-    return pd.DataFrame({"obs_i": [own["obs_i"].iloc[0]], "obs_j": [own["obs_j"].iloc[0]], "r": [score / 2 / below if below else None]})
+    return pd.DataFrame({"obs_i": [own["obs_i"].iloc[0]], "obs_j": [own["obs_j"].iloc[0]], "r": [score / below if below else None]})
+
+
+def _inversions(v: np.ndarray) -> tuple[float, np.ndarray]:
+    """How many pairs stand in falling order, and the values sorted: what merging sorted halves counts."""
+    if len(v) <= 64:
+        return float(np.triu(v[:, None] > v[None, :], 1).sum()), np.sort(v)
+    (m, left), (n, right) = _inversions(v[: len(v) // 2]), _inversions(v[len(v) // 2 :])
+    after = (len(left) - np.searchsorted(left, right, side="right")).sum()
+    return m + n + float(after), np.sort(np.concatenate([left, right]), kind="stable")
 
 
 def corr(x: DataFrame, layer: str = "value", method: str = "pearson") -> DataFrame:
@@ -113,11 +120,13 @@ def umap(x: DataFrame, layer: str = "value", n_neighbors: int = 15, n_components
     names = [r.obs_id for r in rows]
     points = np.array([list(r)[1:] for r in rows], float).reshape(len(names), -1)
     n = len(names)
-    d = np.sqrt(np.maximum(((points[:, None] - points[None]) ** 2).sum(-1), 0))
+    inner = points @ points.T  # n x n is all that distances need
+    d = np.sqrt(np.maximum(np.diag(inner)[:, None] + np.diag(inner)[None] - 2 * inner, 0))
+    np.fill_diagonal(d, 0)
     k = min(n_neighbors, n - 1)
     weight = np.zeros((n, n))
     for i in range(n if k > 0 else 0):
-        near = np.argsort(d[i], kind="stable")[1 : k + 1]
+        near = np.argsort(np.where(np.arange(n) == i, -1, d[i]), kind="stable")[1 : k + 1]
         rho = d[i, near[0]]
         low, high = 1e-9, max(d[i, near[-1]], 1e-6) * 10
         for _ in range(50):

@@ -116,7 +116,7 @@ def maxquant_tmt(spark, sf_dir):
     return _totals(readers.read_maxquant(spark, _maxquant(spark, sf_dir), "tmt")["psm"].x)
 
 
-@query("read_maxquant_lfq", f"""WITH {SPECTRA} SELECT '_PEP' || (o_custkey % 50) || '_' AS var_id, filename AS obs_id, round(sum(o_custkey % 5 * 1.5), 3) AS value FROM m GROUP BY ALL HAVING sum(o_custkey % 5) <> 0""")
+@query("read_maxquant_lfq", f"""WITH {SPECTRA} SELECT '_PEP' || (o_custkey % 50) || '_' AS var_id, filename AS obs_id, round(sum((o_custkey % 5)::DOUBLE * 1.5), 3) AS value FROM m GROUP BY ALL HAVING sum(o_custkey % 5) <> 0""")
 def maxquant_lfq(spark, sf_dir):
     return rounded(readers.read_maxquant(spark, _maxquant(spark, sf_dir), "label_free")["peptide"].x.select("var_id", "obs_id", "value"), "value", digits=3)
 
