@@ -3,8 +3,9 @@
 Trusted positives are labelled rows of good quality; the unlabelled set is web text, whatever its
 quality. A model that adds one weight for each feature's interval minimises the non-negative
 unbiased risk (Kiryo and others): pi R+(positives) + max(0, R-(unlabelled) - pi R-(positives)), with the logistic loss, so
-that its output is a probability; pi is the class prior, estimated as the share of good rows among the labelled
-rows that may be learned from. Features are shapes of a text: shares of kinds of characters, lengths, repeated words and
+that its output is a probability. pi, the class prior, is estimated from positives and unlabelled rows alone: a first model is learned from half of
+both, and on the other half the score range is sought in which the unlabelled rows are fewest for the positives (best bin estimation,
+Garg and others), as good rows must be at least so many everywhere. Features are shapes of a text: shares of kinds of characters, lengths, repeated words and
 lines, so the model reads no label, language, source or id.
 
 Scale: at most ``sample`` positives and ``sample`` unlabelled documents, chosen by a hash of the id, are
@@ -155,13 +156,24 @@ def learn(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: in
     return model
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """The share of positives among the unlabelled rows; the rows of both are in random order."""
+    if min(len(positive), len(unlabelled)) < 2:
+        return 0.5
+    model = learn(positive[::2], unlabelled[::2], 0.5)
+    p, u = np.sort(score(positive[1::2], model)), np.sort(score(unlabelled[1::2], model))
+    cut = np.unique(p)
+    above_p, above_u = (1 - np.searchsorted(x, cut, side="left") / len(x) for x in (p, u))
+    slack = sum(np.sqrt(np.log(4 / delta) / (2 * len(x))) for x in (p, u))
+    best = np.argmin((above_u + (1 + gamma) * slack) / above_p)
+    # The lower end: too high a prior lets the model take bad rows for good ones, too low a one costs little.
+    return float(np.clip(above_u[best] / above_p[best] - np.sqrt(np.log(4 / delta) / (2 * len(u))), 0.01, 0.99))
+
+
 def fit(docs: DataFrame, labels: DataFrame, keep=None, sample: int = SAMPLE) -> Model:
     """Learn from ``labels`` (doc_id, quality) where ``keep`` holds and from unlabelled rows of ``docs``."""
     scratch.small_batches(docs.sparkSession)
     keep = F.lit(True) if keep is None else keep
-    usable = labels.where(keep & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
-    shares = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
-    prior = (shares.get(1, 0) + 0.5) / (sum(shares.values()) + 1)
     good = sample_of(labels, "quality", keep & (F.col("quality") == 1), sample).select("doc_id", F.lit(1).alias("kind"))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     web = texts.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit("web")), "doc_id").limit(sample).select("doc_id", F.lit(0).alias("kind"))
@@ -170,12 +182,14 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None, sample: int = SAMPLE) ->
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches, "text"):
             x = features(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(list(x), pa.list_(pa.float64()))], names=["kind", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("kind"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "kind", "x"])
 
-    seen = texts.join(F.broadcast(chosen), "doc_id").select("kind", "text").mapInArrow(run, "kind int, x array<double>").toArrow()
+    chosen = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "kind", "text")
+    seen = chosen.mapInArrow(run, "doc_id long, kind int, x array<double>").orderBy(F.xxhash64("doc_id"), "kind", "x").toArrow()
     kind = seen.column("kind").to_numpy()
     x = np.array(seen.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
-    return learn(x[kind == 1], x[kind == 0], prior)
+    positive, unlabelled = x[kind == 1], x[kind == 0]
+    return learn(positive, unlabelled, class_prior(positive, unlabelled))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
