@@ -1,6 +1,6 @@
 """Operator 7: near-duplicate embeddings by iterative quantisation and multi-index Hamming tables.
 
-A rotation of the principal axes is learned so that the signs of the rotated vectors lose least (ITQ); the
+A rotation of the principal axes of the unit vectors is learned so that the signs of the rotated vectors lose least (ITQ); the
 signs are a code of up to 64 bits. A code is cut into four substrings, each with a table; a vector
 stands in a table under its substring and under all that differ from it in one bit, so two vectors whose
 substrings differ in at most two bits meet. A pair that meets in several places counts at one of
@@ -12,10 +12,14 @@ number. The search is approximate in what it finds (recall is measured in the te
 links.
 
 Scale: the rotation is fitted on at most ``sample`` vectors, chosen by a hash; all are indexed. 68 rows of 20
-bytes a distinct vector move, then two vectors for each pair that passes the codes. A table's buckets
-hold about N / 65,536 x 17 vectors, so the pair tests grow with N squared over that; beyond some 10
-million distinct vectors use longer substrings (``tables=2``). A cluster of m distinct near copies has m (m - 1) / 2
-links, all of which are verified.
+bytes a distinct vector move. A table's buckets hold about N / 65,536 x 17 vectors, so the pair tests grow with N
+squared over that; beyond some 10 million distinct vectors use longer substrings (``tables=2``).
+
+A cluster of m distinct near copies has m (m - 1) / 2 links, all of which are verified, but in no one task: a bucket of
+more than ``block`` rows is cut into blocks and each pair of blocks is a cell of its own. Classes are dealt to
+N / ``block`` parts, and the candidate pairs of a part with another are a tile; a tile's vectors move once for all its pairs (16
+bytes each) and it gives one row a vector, its number of links and the least vector of its component there. So a task holds some
+2 x ``block`` vectors, and rows grow with vectors and tiles, not with links.
 
 Vectors of each length are a search of their own, with its own rotation; lengths run one after another.
 
@@ -38,6 +42,10 @@ from . import scratch
 from .components import components
 
 SAMPLE, REACH, TABLES, THRESHOLD = 20_000, 18, 4, 0.9
+#: Share of pairs at the threshold that codes about the mean must find to be used.
+ENOUGH = 0.95
+#: Most rows of a bucket's block and, on average, classes of a part; candidate pairs handled at once; rows to broadcast. None of them changes a result.
+BLOCK, PORTION, MOST_BROADCAST = 2_048, 200_000, 2_000_000
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,19 +78,58 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(vectors, pa.binary())], names=["vec_id", "key", "dim", "vector"])
 
 
-def rotation(x: np.ndarray, bits: int, rounds: int = 50, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (dims x bits) whose signs are the codes."""
-    mean = x.mean(axis=0)
+def _unit(vectors: list[bytes], dim: int) -> np.ndarray:
+    x = np.frombuffer(b"".join(vectors), "<f8").reshape(-1, dim)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def rotation(x: np.ndarray, bits: int, share: float = 1.0, rounds: int = 50, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Centre (``share`` of the mean) and projection (dims x bits) whose signs are the codes."""
+    centre = x.mean(axis=0) * share
     if len(x) < 2:  # no pairs, so any axes will do
-        return mean, np.eye(x.shape[1])[:, :bits]
-    _, axes = np.linalg.eigh(np.cov(x - mean, rowvar=False).reshape(x.shape[1], x.shape[1]))
+        return centre, np.eye(x.shape[1])[:, :bits]
+    _, axes = np.linalg.eigh((x - centre).T @ (x - centre) / len(x))
     axes = axes[:, ::-1][:, :bits]
-    v = (x - mean) @ axes
+    v = (x - centre) @ axes
     r = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))[0]
     for _ in range(rounds):
         left, _, right = np.linalg.svd(np.sign(v @ r).T @ v)
         r = (left @ right).T
-    return mean, axes @ r
+    return centre, axes @ r
+
+
+def codes_of(unit: np.ndarray, centre: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """The signs of the rotated vectors as 64 bits."""
+    signs = np.zeros((len(unit), 64), np.uint8)
+    signs[:, : axes.shape[1]] = (unit - centre) @ axes > 0
+    return np.packbits(signs, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def met(a: np.ndarray, b: np.ndarray, bits: int, reach: int, tables: int) -> np.ndarray:
+    """Which pairs of codes the tables and ``reach`` find."""
+    near = np.any([np.bitwise_count(_sub(a, part) ^ _sub(b, part)) <= 2 for part in _substrings(bits, tables)], axis=0)
+    return near & (np.bitwise_count(a ^ b) <= reach)
+
+
+def fitted(unit: np.ndarray, bits: int, threshold: float, reach: int, tables: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """The centre and projection for unit vectors: about the mean where that finds ``ENOUGH`` of pairs at the threshold, else nearer to the origin.
+
+    Codes about the mean are balanced, but where most vectors lie on one side (a large cluster, a common part) near copies
+    differ from the mean in little but noise. Each sample vector's partner, at just the threshold in a random direction, tells what is found.
+    """
+    noise = np.random.default_rng(seed).normal(size=unit.shape)
+    noise -= (noise * unit).sum(axis=1, keepdims=True) * unit
+    noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-300)
+    partner = threshold * unit + np.sqrt(max(0.0, 1 - threshold**2)) * noise
+    best = (-1.0, None)
+    for share in (1.0, 0.5, 0.0):
+        model = rotation(unit, bits, share)
+        found = met(codes_of(unit, *model), codes_of(partner, *model), bits, reach, tables).mean()
+        if found > best[0]:
+            best = (found, model)
+        if found >= ENOUGH:
+            break
+    return best[1]
 
 
 def _substrings(bits: int, tables: int) -> list[tuple[int, int]]:
@@ -94,8 +141,21 @@ def _sub(code: np.ndarray, part: tuple[int, int]) -> np.ndarray:
     return (code >> np.uint64(part[0])) & np.uint64((1 << (part[1] - part[0])) - 1)
 
 
-def _pairs(bits: int, tables: int, reach: int):
-    parts = _substrings(bits, tables)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Class numbers spread over 64 bits, to deal them to parts."""
+    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(32))
+
+
+def _binary(values: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """Runs of 8-byte numbers, which begin at ``begin``, as one binary value each."""
+    edges = np.append(begin, len(values)).astype(np.int32) * np.int32(8)
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _pairs(bits: int, tables: int, reach: int, parts: int):
+    """Candidate pairs by tile (part of u, part of v): one row for all pairs of a tile that are found together."""
+    subs = _substrings(bits, tables)
 
     def tested(table: np.ndarray, key: np.ndarray, cls: np.ndarray, code: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of pairs of places in one bucket those within reach for which it is the one that counts."""
@@ -103,8 +163,8 @@ def _pairs(bits: int, tables: int, reach: int):
         i, j = i[near], j[near]
         before = np.zeros(len(i), bool)
         here = np.zeros(len(i), bool)
-        for t, part in enumerate(parts):
-            a, b = _sub(code[i], part), _sub(code[j], part)
+        for t, sub in enumerate(subs):
+            a, b = _sub(code[i], sub), _sub(code[j], sub)
             d = a ^ b
             meets = np.bitwise_count(d) <= 2
             low = d & (~d + np.uint64(1))
@@ -114,109 +174,202 @@ def _pairs(bits: int, tables: int, reach: int):
         i, j = i[here], j[here]
         return np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
 
+    def found(table, key, low, high, own, cls, code) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of whole cells; in a cell of two blocks only those of one block with the other."""
+        cell = np.concatenate([[True], (table[1:] != table[:-1]) | (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+        run = cell | np.concatenate([[True], own[1:] != own[:-1]])
+        ends = lambda new: np.repeat(np.append(np.flatnonzero(new), len(key))[1:], np.diff(np.append(np.flatnonzero(new), len(key))))
+        end, place = ends(cell), np.arange(len(key))
+        first = np.where(low == high, place + 1, ends(run))
+        i, shift = np.flatnonzero(first < end), 0
+        while len(i):
+            yield tested(table, key, cls, code, i, first[i] + shift)
+            shift += 1
+            i = i[first[i] + shift < end[i]]
+
+    def tiles(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        u, v = (np.concatenate(x) for x in zip(*out, strict=True))
+        a, b = ((_mixed(x) % np.uint64(parts)).astype(np.int64) for x in (u, v))
+        order = np.lexsort((b, a))
+        a, b, u, v = a[order], b[order], u[order], v[order]
+        begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        return pa.RecordBatch.from_arrays([pa.array(a[begin]), pa.array(b[begin]), _binary(u, begin), _binary(v, begin)], names=["a", "b", "us", "vs"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-
-        def found(table, key, cls, code) -> Iterator[pa.RecordBatch]:
-            new = np.concatenate([[True], (table[1:] != table[:-1]) | (key[1:] != key[:-1])])
-            begin = np.flatnonzero(new)
-            size = np.diff(np.append(begin, len(key)))
-            left = np.repeat(begin + size, size) - np.arange(len(key)) - 1  # how many follow in the bucket
-            i, shift = np.flatnonzero(left > 0), 1
-            out, total = [], 0
-            while len(i):
-                u, v = tested(table, key, cls, code, i, i + shift)
-                out.append((u, v))
-                total += len(u)
-                if total > 200_000:
-                    yield batch_of(out)
+        out, total = [], 0
+        for rows in _whole(batches, ("table", "key", "low", "high", "own", "cls", "code"), 4):
+            rows[1], rows[6] = rows[1].view(np.uint64), rows[6].view(np.uint64)
+            for u, v in found(*rows):
+                if len(u):
+                    out.append((u, v))
+                    total += len(u)
+                if total > PORTION:
+                    yield tiles(out)
                     out, total = [], 0
-                shift += 1
-                i = i[left[i] >= shift]
-            if total:
-                yield batch_of(out)
+        if total:
+            yield tiles(out)
 
-        def batch_of(out) -> pa.RecordBatch:
-            u, v = (np.concatenate(x) for x in zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+    return run
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = [batch.column(x).to_numpy() for x in ("table", "key", "cls", "code")]
-            own = [own[0], own[1].view(np.uint64), own[2], own[3].view(np.uint64)]
-            held = own if held is None else [np.concatenate(x) for x in zip(held, own, strict=True)]
-            same = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
-            last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            if last:
-                yield from found(*(x[:last] for x in held))
-                held = [x[last:] for x in held]
-        if held is not None:
-            yield from found(*held)
 
-    return run
+def _whole(batches: Iterable[pa.RecordBatch], names: tuple[str, ...], by: int) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted rows, cut only where the first ``by`` of them change."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([batch.column(x).to_numpy() for x in names])
+        if all(held[0][k][0] == held[-1][k][-1] for k in range(by)):
+            continue
+        rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+        same = np.all([rows[k] == rows[k][-1] for k in range(by)], axis=0)
+        last = len(same) - int(np.argmin(same[::-1]))
+        yield [x[:last] for x in rows]
+        held = [[x[last:] for x in rows]]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, cls: which vectors a tile's pairs need."""
+    for batch in batches:
+        for a, b, us, vs in zip(*(batch.column(x).to_pylist() for x in ("a", "b", "us", "vs")), strict=True):
+            cls = np.unique(np.frombuffer(us + vs, "<i8"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cls), a)), pa.array(np.full(len(cls), b)), pa.array(cls)], names=["a", "b", "cls"])
+
 
+def forest(u: np.ndarray, v: np.ndarray, size: int) -> np.ndarray:
+    """The least node of each node's component, for links u, v of nodes below ``size``."""
+    label = np.arange(size)
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, label[u], low)
+        np.minimum.at(new, label[v], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _verified(threshold: float, dim: int):
+    """Of each tile: how many vectors each links with (u, others), and a forest of the links (u, v)."""
+    portion = max(1, (16 << 20) // (8 * dim))
 
-def _verified(threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held, pairs, total = None, [], [], 0
+        cls = copies = x = norm = others = label = None
+
+        def opened() -> None:
+            nonlocal cls, copies, x, norm, others, label, held
+            cls, copies = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[:2])
+            x = np.frombuffer(b"".join(h[2] for h in held), "<f8").reshape(len(held), dim)
+            order = np.argsort(cls)
+            cls, copies, x = cls[order], copies[order], x[order]
+            norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+            others, label, held = np.zeros(len(cls), np.int64), np.arange(len(cls)), []
+
+        def compared() -> None:
+            nonlocal pairs, total, label
+            if not total:
+                return
+            if held:
+                opened()
+            us, vs = (np.searchsorted(cls, np.concatenate(p)) for p in zip(*pairs, strict=True))
+            pairs, total = [], 0
+            for at in range(0, len(us), portion):
+                u, v = us[at : at + portion], vs[at : at + portion]
+                keep = np.einsum("ij,ij->i", x[u], x[v]) / (norm[u] * norm[v]) >= threshold
+                u, v = u[keep], v[keep]
+                others[:] += np.bincount(u, copies[v], len(cls)).astype(np.int64) + np.bincount(v, copies[u], len(cls)).astype(np.int64)
+                own = np.arange(len(cls))
+                label = forest(np.concatenate([u, own]), np.concatenate([v, label]), len(cls))
+
+        def closed() -> pa.RecordBatch:
+            compared()
+            some = others > 0
+            return pa.RecordBatch.from_arrays([pa.array(cls[some]), pa.array(cls[label[some]]), pa.array(others[some])], names=["u", "v", "others"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), "<f8").reshape(batch.num_rows, -1) for x in ("a", "b"))
-            cosine = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
-            keep = pa.array(cosine >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep), pa.array(cosine).filter(keep)], names=["u", "v", "cosine"])
+            for a, b, kind, id_, n, vector, us, vs in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "kind", "cls", "copies", "vector", "us", "vs")), strict=True):
+                if (a, b) != tile:
+                    if tile is not None:
+                        yield closed()
+                    tile = (a, b)
+                if kind == 0:
+                    held.append((id_, n, vector))
+                    continue
+                pairs.append((np.frombuffer(us, "<i8"), np.frombuffer(vs, "<i8")))
+                total += len(pairs[-1][0])
+                if total > PORTION:
+                    compared()
+        if tile is not None:
+            yield closed()
 
     return run
 
 
-def linked(rows: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, reach: int = REACH, tables: int = TABLES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Vectors (vec_id, key, dim, cls), classes of equal vectors (cls, copies, least) and links (u, v, cosine) of classes."""
+def linked(rows: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, reach: int = REACH, tables: int = TABLES, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vectors (vec_id, key, dim), classes of equal vectors (cls, key, copies, least), and of classes that link some rows
+    u, v, others: ``others`` sums to the number of vectors u links with, and the pairs u, v have the components of the links."""
     spark = rows.sparkSession
     scratch.small_batches(spark)
     vectors = rows.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_rows, "vec_id long, key binary, dim int, vector binary")
     vectors = scratch.written(vectors)
     classes = vectors.where("key is not null").groupBy("key", "dim").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("vector").alias("vector"))
     classes = scratch.written(classes.withColumn("cls", F.monotonically_increasing_id()))
-    dims = [r.dim for r in classes.groupBy("dim").count().where("count > 1").orderBy("dim").collect()]  # one vector alone has no pairs
-    links = spark.createDataFrame([], "u long, v long, cosine double")
-    for dim in dims:
-        links = links.unionByName(_links_of(classes.where(F.col("dim") == dim), dim, threshold, sample, reach, tables))
+    dims = classes.groupBy("dim").count().where("count > 1").orderBy("dim").collect()  # one vector alone has no pairs
+    links = spark.createDataFrame([], "u long, v long, others long")
+    for row in dims:
+        links = links.unionByName(_links_of(classes.where(F.col("dim") == row.dim), row.dim, row["count"], threshold, sample, reach, tables, block))
     return vectors, classes.select("cls", "key", "copies", "least"), scratch.written(links) if dims else links
 
 
-def _links_of(classes: DataFrame, dim: int, threshold: float, sample: int, reach: int, tables: int) -> DataFrame:
-    """Links (u, v, cosine) of classes whose vectors have ``dim`` components."""
+def _celled(codes: DataFrame, bits: int, tables: int, block: int) -> DataFrame:
+    """Each code in all its buckets; a bucket of more than ``block`` rows is cut into blocks, and each pair of blocks is a cell."""
+    around, own = [], []
+    for a, b in _substrings(bits, tables):
+        own.append(F.shiftrightunsigned("code", a).bitwiseAND(F.lit((1 << (b - a)) - 1)))
+        around.append(lambda at, size=b - a: F.array(at, *(at.bitwiseXOR(F.lit(1 << i)) for i in range(size))))
+    dealt = codes.select("cls", "code", F.posexplode(F.array(*(near(x) for near, x in zip(around, own, strict=True)))).alias("table", "keys")).select("table", F.explode("keys").alias("key"), "cls", "code")
+    # A bucket's size is the sum over the substrings around its key, of which there are far fewer than rows.
+    held = codes.select(F.posexplode(F.array(*own)).alias("table", "at")).groupBy("table", "at").count()
+    near = F.element_at(F.array(*(f(F.col("at")) for f in around)), F.col("table") + 1)
+    size = held.select("table", F.explode(near).alias("key"), "count").groupBy("table", "key").agg(F.sum("count").alias("n"))
+    hot = scratch.written(size.where(F.col("n") > block).select("table", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    hot = F.broadcast(hot) if hot.count() <= MOST_BROADCAST else hot
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = dealt.join(hot, ["table", "key"], "left").withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return other.select("table", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "cls", "code")
+
+
+def _links_of(classes: DataFrame, dim: int, count: int, threshold: float, sample: int, reach: int, tables: int, block: int) -> DataFrame:
+    """Links (u, v, others) of ``count`` classes whose vectors have ``dim`` components."""
     bits = min(64, dim)
     chosen = classes.select("vector").orderBy(F.xxhash64("key"), "key").limit(sample).toArrow()
-    mean, axes = rotation(np.frombuffer(b"".join(chosen.column("vector").to_pylist()), "<f8").reshape(-1, dim), bits)
+    model = fitted(_unit(chosen.column("vector").to_pylist(), dim), bits, threshold, reach, tables)
 
     def coded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("vector").to_pylist()), "<f8").reshape(batch.num_rows, dim)
-            signs = np.zeros((batch.num_rows, 64), np.uint8)
-            signs[:, :bits] = (x - mean) @ axes > 0
-            code = np.packbits(signs, axis=1, bitorder="little").view("<i8").ravel()
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(code)], names=["cls", "code"])
-
-    codes = classes.select("cls", "vector").mapInArrow(coded, "cls long, code long")
-    places = []
-    for a, b in _substrings(bits, tables):
-        own = F.shiftrightunsigned("code", a).bitwiseAND(F.lit((1 << (b - a)) - 1))
-        places.append(F.array(own, *(own.bitwiseXOR(F.lit(1 << i)) for i in range(b - a))))
-    dealt = codes.select("cls", "code", F.posexplode(F.array(*places)).alias("table", "keys")).select("table", F.explode("keys").alias("key"), "cls", "code")
-    pairs = dealt.repartition("table", "key").sortWithinPartitions("table", "key").mapInArrow(_pairs(bits, tables, reach), "u long, v long")
-    a = classes.select(F.col("cls").alias("u"), F.col("vector").alias("a"))
-    b = classes.select(F.col("cls").alias("v"), F.col("vector").alias("b"))
-    return pairs.join(a, "u").join(b, "v").mapInArrow(_verified(threshold), "u long, v long, cosine double")
+            code = codes_of(_unit(batch.column("vector").to_pylist(), dim), *model)
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(code.view(np.int64))], names=["cls", "code"])
+
+    codes = scratch.written(classes.select("cls", "vector").mapInArrow(coded, "cls long, code long"))
+    dealt = _celled(codes, bits, tables, block).repartition("table", "key", "low", "high").sortWithinPartitions("table", "key", "low", "high", "own")
+    parts = -(-count // block)
+    pairs = scratch.written(dealt.mapInArrow(_pairs(bits, tables, reach, parts), "a long, b long, us binary, vs binary"))
+    members = pairs.mapInArrow(_members, "a long, b long, cls long").distinct().join(classes.select("cls", "copies", "vector"), "cls")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("cls", "long"), ("copies", "long"), ("vector", "binary"))]
+    both = members.select("a", "b", F.lit(0).alias("kind"), "cls", "copies", "vector", F.lit(None).cast("binary").alias("us"), F.lit(None).cast("binary").alias("vs"))
+    both = both.unionByName(pairs.select("a", "b", F.lit(1).alias("kind"), *none, "us", "vs"))
+    return both.repartition("a", "b").sortWithinPartitions("a", "b", "kind").mapInArrow(_verified(threshold, dim), "u long, v long, others long")
 
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     vectors, classes, links = linked(rows, threshold, **options)
-    both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    size = classes.select(F.col("cls").alias("v"), "copies")
-    degree = both.join(size, "v").groupBy("u").agg(F.sum("copies").alias("others"))
+    degree = links.groupBy("u").agg(F.sum("others").alias("others"))
     node = components(links.select("u", "v"))
     found = classes.join(degree, classes.cls == degree.u, "left").join(node, classes.cls == node.node, "left")
     found = found.select(F.col("key").alias("key_"), "least", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component"))
