@@ -277,11 +277,12 @@ def same_sets(spark, sf_dir):
 
 
 
-@query("protein_subsets", """WITH e AS (SELECT DISTINCT l_partkey % 10 AS peptide, l_orderkey AS protein FROM lineitem), s AS (SELECT min(protein)::VARCHAR AS protein, ps FROM (SELECT protein, list(peptide ORDER BY peptide) AS ps FROM e GROUP BY ALL) GROUP BY ps),
-  i AS (SELECT a.protein AS parent, b.protein AS child FROM s a, s b WHERE len(a.ps) > len(b.ps) AND list_has_all(a.ps, b.ps)), r AS (SELECT * FROM i WHERE parent NOT IN (SELECT child FROM i))
+@query("protein_subsets", """WITH e AS (SELECT DISTINCT l_partkey AS peptide, l_orderkey AS protein FROM lineitem), l AS (SELECT protein, list(peptide ORDER BY peptide) AS ps FROM e GROUP BY protein),
+  s AS (SELECT min(protein)::VARCHAR AS protein, len(ps) AS n, unnest(ps) AS peptide FROM l GROUP BY ps),
+  i AS (SELECT a.protein AS parent, b.protein AS child FROM s a JOIN s b USING (peptide) WHERE a.n > b.n GROUP BY a.protein, b.protein, b.n HAVING count(*) = b.n), r AS (SELECT * FROM i WHERE parent NOT IN (SELECT child FROM i))
   SELECT child AS protein, max(parent) AS "group" FROM r GROUP BY ALL""")
 def protein_subsets(spark, sf_dir):
-    edges = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 10).alias("peptide"), F.col("l_orderkey").alias("protein")).distinct()
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("peptide"), F.col("l_orderkey").alias("protein")).distinct()
     names = edges.groupBy("protein").agg(F.sort_array(F.collect_set("peptide")).alias("ps")).groupBy("ps").agg(F.min("protein").cast("string").alias("protein"))
     return inference.subsets(names.select(F.explode("ps").alias("peptide"), "protein"))
 
