@@ -26,6 +26,7 @@ def _byte_letters() -> dict[int, str]:
 
 BYTES = _byte_letters()
 MEMO = 600_000  # words that a worker remembers
+SLICE_BYTES = 4 << 20  # of text that is encoded at once; its words and ids take many times that
 
 
 # The normaliser and the pre-tokenizer of files whose tokens stop at white space and lower-case first.
@@ -218,5 +219,6 @@ def worker_tokenizer(path: str) -> WordTokenizer:
 def encoded(batches: Iterable[pa.RecordBatch], text: str, path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with the offsets and ids of their texts, ``end_id`` after each text."""
     tokenizer = worker_tokenizer(path)
-    for batch in words.gathered(batches, text):
+    for batch in words.gathered(batches, text, SLICE_BYTES):
         yield batch, *tokenizer.encode(batch.column(text), end_id)
+    pa.default_memory_pool().release_unused()  # else the worker keeps it for as long as it lives
