@@ -37,6 +37,7 @@ from .components import components
 #: Texts whose shingles are counted, shingles that come last at most, and rows of ids to broadcast at most. None of them changes a result.
 SAMPLE, FREQUENT, MOST_BROADCAST = 20_000, 100_000, 2_000_000
 SEEN, PORTION = 1_000_000, 200_000
+SLICE_BYTES = 4 << 20  # of text whose sets are made at once; shingles and parity bits take many times that
 MARKS = ("b0", "b1", "b2", "b3")
 CHAINS = 2
 
@@ -51,7 +52,7 @@ def _sets(shingle: int, hashes: Callable, fingerprint: Callable):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        for batch in words.slices(batches, "text"):
+        for batch in words.slices(batches, "text", SLICE_BYTES):
             texts = pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist()
             sets = [np.unique(np.array(hashes(t, shingle, xxh64_intdigest), "<u8")) for t in texts]
             fps = fingerprint(sets).view(np.int64)
@@ -61,6 +62,7 @@ def _sets(shingle: int, hashes: Callable, fingerprint: Callable):
             sets = pa.array(sets, pa.binary())
             size = pc.binary_length(sets).to_numpy().astype(np.int32) // 8
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids), sets, sigs, pa.array(size), pa.array(fps), *(pa.array(np.ascontiguousarray(x)) for x in marks(sets).T)], names=["doc_id", "id", "set", "sig", "n", "fp", *MARKS])
+        pa.default_memory_pool().release_unused()  # else the worker keeps it through the stages that follow
 
     return run
 
