@@ -35,11 +35,14 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> Data
 
 
 def least_ahead(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
-    """The least ``value`` from this row on in (``_range``, ``order``)."""
+    """The least ``value`` from this row on in (``_range``, ``order``); ``order`` is ascending.
+
+    The rows are read backwards: Spark sums up a frame that ends with the rows behind anew for each row.
+    """
     totals = df.groupBy("_range").agg(F.min(value).alias("_m"))
-    after = Window.orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
     later = totals.select(F.col("_range").alias("_r"), F.min("_m").over(after).alias("_later"))
-    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    inside = Window.partitionBy("_range").orderBy(*(c.desc() for c in order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = df.withColumn(name, F.min(value).over(inside)).join(F.broadcast(later), F.col("_range") == F.col("_r"))
     return out.withColumn(name, F.least(name, "_later")).drop("_r", "_later")
 
