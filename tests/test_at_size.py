@@ -6,7 +6,7 @@ from contextlib import redirect_stdout
 import pytest
 from helpers import near
 
-from spectraloom.operators import fdr
+from spectraloom.operators import fdr, inference
 
 
 def plan(df):
@@ -41,3 +41,29 @@ def test_target_decoy_reads_no_frame_anew_for_each_row(spark):
         low = low if rate is None else min(low, rate)
         want[i] = None if rate is None else low
     assert all(near(r.q_value, want[r.id]) for r in out.collect())
+
+
+def test_a_long_group_is_named_once(spark):
+    """Of 3,000 proteins with the same peptides each had the sorted list of all made anew."""
+    edges = spark.range(3000).selectExpr("concat('p', id) protein", "explode(array('a', 'b')) peptide").unionByName(spark.createDataFrame([("q1", "a"), ("q2", "c"), ("q3", "c")], "protein string, peptide string"))
+    members, names = inference.same_peptides(edges)
+    got = {r.id: r.group for r in names.collect()}
+    assert got == {"p0,": ",".join(sorted(f"p{i}" for i in range(3000))), "q2,": "q2,q3"}
+    assert members.count() == 3002 and members.join(names, "id").count() == 3002
+
+
+def test_groups_go_by_ids_until_the_end(spark):
+    """Proteins in a square share a peptide with their row and one with their column: one component, and none but Z has a peptide of its own."""
+    m = 20
+    n = m * m
+    rows = [(f"r{k}", ";".join(f"P{k * m + i}" for i in range(m))) for k in range(m)] + [(f"c{k}", ";".join(f"P{k + i * m}" for i in range(m))) for k in range(m)]
+    rows += [("own", "Z"), ("own2", "Z"), ("tie", f"Z;P{n // 2}"), ("e1", "E1;E2")]
+    peptides, proteins = inference.infer(spark.createDataFrame(rows, "stripped_peptide string, proteins string"))
+    whole = ",".join(sorted(f"P{i}" for i in range(n)))
+    got = {r.initial_protein: (r.protein_group, r.indistinguishable, r.subsumable) for r in proteins.collect()}
+    assert got.pop("Z") == ("Z", False, False) and got.pop("E1") == got.pop("E2") == ("E1,E2", True, False)
+    assert len(got) == n and set(got.values()) == {(whole, False, True)}
+    found = {r.peptide: r.protein_group for r in peptides.collect()}
+    assert found["r7"] == whole and found["tie"] == f"{whole};Z" and found["e1"] == "E1,E2"
+    merge = inference.subsumable(inference.edges_of(spark.createDataFrame(rows, "p string, q string"), "p", "q"))[0]
+    assert merge.agg({"group": "max"}).first()[0].count(",") == 2  # an id, not the list of members
