@@ -272,9 +272,8 @@ def _sets(spark, sf_dir):
 @query("protein_indistinguishable", f"""WITH {SETS}, s AS (SELECT protein, list(peptide ORDER BY peptide) AS ps FROM e GROUP BY ALL), g AS (SELECT ps, string_agg(protein, ',' ORDER BY protein) AS names, count(*) AS n FROM s GROUP BY ALL)
   SELECT protein, sha256(names) AS members FROM s JOIN g USING (ps) WHERE n > 1""")
 def same_sets(spark, sf_dir):
-    return inference.indistinguishable(_sets(spark, sf_dir)).select("protein", F.sha2("group", 256).alias("members"))
-
-
+    members, names = inference.same_peptides(_sets(spark, sf_dir))
+    return members.join(names.select("id", F.sha2("group", 256).alias("members")), "id").select("protein", "members")
 
 
 @query("protein_subsets", """WITH e AS (SELECT DISTINCT l_partkey AS peptide, l_orderkey AS protein FROM lineitem), l AS (SELECT protein, list(peptide ORDER BY peptide) AS ps FROM e GROUP BY protein),
