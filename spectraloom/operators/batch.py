@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import wide_median
 from ..model import Study, logged
 
 METHODS = ("gis", "median_center", "combat", "continuous")
@@ -135,7 +136,7 @@ def correct_batch_effect(study: Study, modality: str, method: str, category: str
     else:
         x = combat(assay.x, batches, layer)
     if rescale and method != "combat":
-        x = x.crossJoin(F.broadcast(assay.x.agg(F.median(layer).alias("_g")))).withColumn(layer, F.col(layer) + F.col("_g")).drop("_g")
+        x = x.crossJoin(F.broadcast(wide_median(assay.x, layer, name="_g"))).withColumn(layer, F.col(layer) + F.col("_g")).drop("_g")
     study = study.with_assay(modality, assay.with_(x=x.select(*assay.x.columns)))
     if method == "gis" and drop_gis:
         keep = ~F.col("obs_id").isin(list(gis_samples))

@@ -1,12 +1,15 @@
 """Steps that grew faster than their tables."""
 
 import io
+import re
 from contextlib import redirect_stdout
 
+import numpy as np
 import pytest
-from helpers import near
+from helpers import near, study
 
-from spectraloom.operators import fdr, inference
+from spectraloom.functions.ranges import wide_median
+from spectraloom.operators import fdr, inference, normalise
 
 
 def plan(df):
@@ -67,3 +70,26 @@ def test_groups_go_by_ids_until_the_end(spark):
     assert found["r7"] == whole and found["tie"] == f"{whole};Z" and found["e1"] == "E1,E2"
     merge = inference.subsumable(inference.edges_of(spark.createDataFrame(rows, "p string, q string"), "p", "q"))[0]
     assert merge.agg({"group": "max"}).first()[0].count(",") == 2  # an id, not the list of members
+
+
+def test_wide_median(spark):
+    """Equals the median of each group, with ties, signs, one value or none; no aggregate gathers a group's values."""
+    rng = np.random.default_rng(5)
+    groups = {"normal": rng.normal(size=5001), "ties": rng.integers(0, 3, 4000).astype(float), "half": np.r_[np.zeros(500), np.arange(1.0, 501)], "one": np.array([7.0]), "two": np.array([-1.0, 4.0])}
+    rows = [(g, float(v)) for g, own in groups.items() for v in own] + [("none", None), ("one", None)]
+    x = spark.createDataFrame(rows, "g string, value double").repartition(3)
+    out = wide_median(x, "value", ("g",), "m")
+    assert not re.search(r"[^e]\bmedian\(|percentile\(", plan(out))
+    got = {r.g: r.m for r in out.collect()}
+    assert got == {g: float(np.median(own)) for g, own in groups.items()}
+    assert wide_median(x, "value", name="m").first().m == float(np.median(np.concatenate(list(groups.values()))))
+    assert wide_median(x.where("g = 'none'"), "value", name="m").first().m is None
+
+
+@pytest.mark.parametrize("fraction", [False, True])
+def test_median_of_all_values_is_no_single_task(spark, fraction):
+    s = study(spark, [[1.0, 2.0, None], [4.0, 8.0, 9.0]], [{"obs_id": "a"}, {"obs_id": "b"}], [{"var_id": f"v{i}", "filename": "f"} for i in (1, 2, 3)])
+    out = normalise.normalise(s, "median", "psm", fraction=fraction)["psm"].x
+    got = {(r.obs_id, r.var_id): r.value for r in out.collect()}
+    assert got == {("a", "v1"): 3.5, ("a", "v2"): 4.5, ("b", "v1"): 0.0, ("b", "v2"): 4.0, ("b", "v3"): 5.0}
+    assert "percentile_approx" in plan(out)
