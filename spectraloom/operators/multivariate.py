@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranges import average_rank
+from ..functions.ranges import RANGES
 from ..model import Study, logged
 from .filters import complete_features
 
@@ -15,29 +15,85 @@ from .filters import complete_features
 MOST_SAMPLES = 5_000
 
 
+#: A sample with more values than this is dealt to ranges, so that no task holds all of it.
+MOST_VALUES = 100_000
+
+
 def _pairs(x: DataFrame, layer: str) -> DataFrame:
     """obs_i, obs_j (i <= j), a, b, var_id: values of two samples for the features that both have."""
     x = x.where(F.col(layer).isNotNull())
-    left = x.select("var_id", F.col("obs_id").alias("obs_i"), F.col(layer).cast("double").alias("a"))
-    right = x.select("var_id", F.col("obs_id").alias("obs_j"), F.col(layer).cast("double").alias("b"))
+    ranged = ["_range"] if "_range" in x.columns else []
+    left = x.select("var_id", F.col("obs_id").alias("obs_i"), F.col(layer).cast("double").alias("a"), *(F.col(c).alias("_ra") for c in ranged))
+    right = x.select("var_id", F.col("obs_id").alias("obs_j"), F.col(layer).cast("double").alias("b"), *(F.col(c).alias("_rb") for c in ranged))
     return left.join(right, "var_id").where("obs_i <= obs_j")
 
 
+def _with_range(x: DataFrame, layer: str, most: int | None = None) -> DataFrame:
+    """Add ``_range``, a value's place among its sample's quantiles: equal values share one, larger ones have none smaller."""
+    most = MOST_VALUES if most is None else most
+    cuts = x.groupBy("obs_id").agg(F.percentile_approx(layer, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_q"), F.count(layer).alias("_n"))
+    none = F.array().cast(f"array<{dict(x.dtypes)[layer]}>")
+    cuts = F.broadcast(cuts.select("obs_id", F.when(F.col("_n") > most, F.array_distinct("_q")).otherwise(none).alias("_q")))  # a row for each sample
+    return x.join(cuts, "obs_id").withColumn("_range", F.size(F.filter("_q", lambda c: c < F.col(layer)))).drop("_q")
+
+
+def _ranked(pairs: DataFrame) -> DataFrame:
+    """a and b become their mean ranks among the pair's rows: the rows of lower ranges and the rank inside the range."""
+    keys = ["obs_i", "obs_j"]
+    cells = pairs.groupBy(*keys, "_ra", "_rb").agg(F.count("*").alias("_c"))
+    out = pairs
+    for value, part in (("a", "_ra"), ("b", "_rb")):
+        before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a pair
+        lower = cells.groupBy(*keys, part).agg(F.sum("_c").alias("_c")).select(*keys, part, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_below"))
+        inside = Window.partitionBy(*keys, part).orderBy(value)
+        rank = (F.rank().over(inside) + F.count(F.lit(1)).over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))) / 2
+        out = out.withColumn(value, rank).join(lower, [*keys, part]).withColumn(value, F.col(value) + F.col("_below")).drop("_below", part)
+    return out
+
+
 def _correlated(pairs: DataFrame) -> DataFrame:
     """Pearson's r; missing where a side doesn't vary or only one feature is shared."""
     spread = (F.stddev_pop("a") > 0) & (F.stddev_pop("b") > 0)
     return pairs.groupBy("obs_i", "obs_j").agg(F.when(spread, F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b"))).alias("r"))
 
 
-def _tau(own: pd.DataFrame) -> pd.DataFrame:
-    """Kendall's tau-b of one pair of samples, by sorting and the count of what merging has to turn round."""
-    a, b = own["a"].to_numpy(), own["b"].to_numpy()
-    order = np.lexsort((b, a))
-    tied = lambda *v: sum(c * (c - 1) / 2 for c in np.unique(np.stack(v), axis=1, return_counts=True)[1])
-    pairs = len(a) * (len(a) - 1) / 2
-    score = pairs - tied(a) - tied(b) + tied(a, b) - 2 * _inversions(b[order])[0]
-    below = np.sqrt((pairs - tied(a)) * (pairs - tied(b)))
-    return pd.DataFrame({"obs_i": [own["obs_i"].iloc[0]], "obs_j": [own["obs_j"].iloc[0]], "r": [score / below if below else None]})
+def _tied(*v: np.ndarray) -> float:
+    return float(sum(c * (c - 1) / 2 for c in np.unique(np.stack(v), axis=1, return_counts=True)[1]))
+
+
+def _taus(pairs: DataFrame) -> DataFrame:
+    """Kendall's tau-b of each pair of samples.
+
+    Two rows stand against each other inside a range of a (sorted and counted there), inside a range of b but in different
+    ranges of a (likewise), or in different ranges of both (from a table of ranges).
+    """
+    keys, parts = ["obs_i", "obs_j"], "obs_i string, obs_j string, n double, ta double, tb double, tab double, against double"
+
+    def row(key, n=0.0, ta=0.0, tb=0.0, tab=0.0, against=0.0):
+        return pd.DataFrame({"obs_i": [key[0]], "obs_j": [key[1]], "n": [n], "ta": [ta], "tb": [tb], "tab": [tab], "against": [against]})
+
+    def by_a(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        a, b = own["a"].to_numpy(), own["b"].to_numpy()
+        return row(key, n=float(len(a)), ta=_tied(a), tab=_tied(a, b), against=_inversions(b[np.lexsort((b, a))])[0])
+
+    def by_b(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        ra, b = own["_ra"].to_numpy(), own["b"].to_numpy()
+        return row(key, tb=_tied(b), against=_inversions(b[np.lexsort((b, ra))])[0])
+
+    def by_cell(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros((RANGES, RANGES))
+        table[own["_ra"], own["_rb"]] = own["_c"]
+        later = table[::-1].cumsum(0)[::-1].cumsum(1)  # rows in this range of a or a later one, and this of b or an earlier one
+        return row(key, against=float((table[:-1, 1:] * later[1:, :-1]).sum()))
+
+    cells = pairs.groupBy(*keys, "_ra", "_rb").agg(F.count("*").alias("_c"))
+    found = pairs.select(*keys, "_ra", "a", "b").groupBy(*keys, "_ra").applyInPandas(by_a, parts)
+    found = found.unionByName(pairs.select(*keys, "_rb", "_ra", "b").groupBy(*keys, "_rb").applyInPandas(by_b, parts))
+    found = found.unionByName(cells.groupBy(*keys).applyInPandas(by_cell, parts))
+    sums = found.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("n", "ta", "tb", "tab", "against")))
+    pairs_of = F.col("n") * (F.col("n") - 1) / 2
+    below = F.sqrt((pairs_of - F.col("ta")) * (pairs_of - F.col("tb")))
+    return sums.select(*keys, F.try_divide(pairs_of - F.col("ta") - F.col("tb") + F.col("tab") - 2 * F.col("against"), below).alias("r"))
 
 
 def _inversions(v: np.ndarray) -> tuple[float, np.ndarray]:
@@ -51,14 +107,12 @@ def _inversions(v: np.ndarray) -> tuple[float, np.ndarray]:
 
 def corr(x: DataFrame, layer: str = "value", method: str = "pearson") -> DataFrame:
     """obs_i, obs_j, r for every pair of samples, over the features both have; pearson, spearman or kendall."""
-    pairs = _pairs(x, layer)
-    if method == "spearman":
-        keys = ["obs_i", "obs_j"]
-        pairs = pairs.withColumn("ra", average_rank(keys, "a")).withColumn("rb", average_rank(keys, "b")).select(*keys, F.col("ra").alias("a"), F.col("rb").alias("b"))
-    if method in ("pearson", "spearman"):
-        half = _correlated(pairs)
+    if method == "pearson":
+        half = _correlated(_pairs(x, layer))
+    elif method == "spearman":
+        half = _correlated(_ranked(_pairs(_with_range(x, layer), layer)))
     elif method == "kendall":
-        half = pairs.groupBy("obs_i", "obs_j").applyInPandas(_tau, "obs_i string, obs_j string, r double")
+        half = _taus(_pairs(_with_range(x, layer), layer))
     else:
         raise ValueError(f"method is {method!r}; it can be pearson, spearman or kendall")
     return half.unionByName(half.where("obs_i <> obs_j").select(F.col("obs_j").alias("obs_i"), F.col("obs_i").alias("obs_j"), "r"))

@@ -5,11 +5,12 @@ import re
 from contextlib import redirect_stdout
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import near, study
 
 from spectraloom.functions.ranges import wide_median
-from spectraloom.operators import fdr, inference, normalise
+from spectraloom.operators import batch, fdr, inference, multivariate, normalise
 
 
 def plan(df):
@@ -93,3 +94,52 @@ def test_median_of_all_values_is_no_single_task(spark, fraction):
     got = {(r.obs_id, r.var_id): r.value for r in out.collect()}
     assert got == {("a", "v1"): 3.5, ("a", "v2"): 4.5, ("b", "v1"): 0.0, ("b", "v2"): 4.0, ("b", "v3"): 5.0}
     assert "percentile_approx" in plan(out)
+
+
+@pytest.mark.parametrize("method", ["spearman", "kendall"])
+def test_rank_correlation_by_ranges(spark, method, monkeypatch):
+    """A pair of samples is no longer one task's: with ranges from the first value on, r is that of whole pairs."""
+    rng = np.random.default_rng(2)
+    m = np.round(rng.normal(size=(3, 700)), 1)
+    m[1] = np.round(m[0] + rng.normal(size=700), 1)
+    here = rng.random((3, 700)) < 0.9
+    x = spark.createDataFrame([(f"s{i}", f"v{j}", float(m[i, j])) for i, j in zip(*np.nonzero(here), strict=True)], "obs_id string, var_id string, value double")
+    monkeypatch.setattr(multivariate, "MOST_VALUES", 0)
+    assert multivariate._with_range(x, "value").select("_range").distinct().count() > 20
+    got = {(r.obs_i, r.obs_j): r.r for r in multivariate.corr(x, method=method).collect()}
+    assert len(got) == 9
+    for i in range(3):
+        for j in range(3):
+            a, b = (pd.Series(m[k][here[i] & here[j]]) for k in (i, j))
+            if method == "spearman":
+                want = np.corrcoef(a.rank(), b.rank())[0, 1]
+            else:
+                s, t = (np.sign(v.to_numpy()[:, None] - v.to_numpy()) for v in (a, b))
+                want = (s * t).sum() / np.sqrt((s**2).sum() * (t**2).sum())
+            assert near(got[f"s{i}", f"s{j}"], want, 1e-9)
+
+
+def test_trends_of_many_features_at_once(spark, monkeypatch):
+    """Features of several sizes, cut over Arrow batches, get the fit that each has alone; no Python call for each feature."""
+    rng = np.random.default_rng(4)
+    rows = [(f"s{i}", f"v{j}", float(rng.normal()), i * j) for j in range(60) for i in range(9) if j < 2 or rng.random() < 0.7]
+    rows += [("s0", "flat", 2.0, 0), ("s1", "flat", 2.0, 0), ("s2", "flat", None, 0)]
+    x = spark.createDataFrame(rows, "obs_id string, var_id string, value double, more int")
+    codes = spark.createDataFrame([(f"s{i}", i // 2) for i in range(9)], "obs_id string, code int")
+    monkeypatch.setattr(batch, "MOST_WEIGHTS", 200)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = batch.by_lowess(x, codes)
+        assert "flatmapgroups" not in plan(out)
+        got = {(r.var_id, r.obs_id): (r.value, r.more) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    own = {}
+    for o, v, value, more in rows:
+        if value is not None:
+            own.setdefault(v, []).append((int(o[1:]) // 2, o, value, more))
+    assert len(got) == sum(map(len, own.values()))
+    for v, values in own.items():
+        c, o, y, more = zip(*sorted(values), strict=True)
+        fit = batch.lowess(np.array(c, float), np.array(y))
+        assert all(near(got[v, name][0], a - f, 1e-9) and got[v, name][1] == m for name, a, f, m in zip(o, y, fit, more, strict=True))
