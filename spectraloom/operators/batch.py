@@ -39,44 +39,83 @@ def by_median(x: DataFrame, batches: DataFrame, layer: str = "value", log_transf
 
 def lowess(x: np.ndarray, y: np.ndarray, frac: float = 0.8, robust: int = 3) -> np.ndarray:
     """Locally weighted linear fit at each x: tricube weights of the nearest ``frac`` of the points, then ``robust`` bisquare rounds."""
-    n = len(x)
+    return lowess_rows(x[None], y[None], frac, robust)[0]
+
+
+def lowess_rows(x: np.ndarray, y: np.ndarray, frac: float = 0.8, robust: int = 3) -> np.ndarray:
+    """``lowess`` of each row of x and y."""
+    n = x.shape[1]
     k = min(n, max(2, int(frac * n + 1e-10)))
-    distance = np.abs(x[:, None] - x[None, :])
-    reach = np.sort(distance, axis=1)[:, k - 1]
+    distance = np.abs(x[:, :, None] - x[:, None, :])
+    reach = np.sort(distance, axis=2)[:, :, k - 1, None]
     with np.errstate(divide="ignore", invalid="ignore"):
-        near = np.where(reach[:, None] > 0, distance / reach[:, None], np.where(distance > 0, 1.0, 0.0))
+        near = np.where(reach > 0, distance / reach, np.where(distance > 0, 1.0, 0.0))
     weight = np.where(near < 0.999, (1 - np.minimum(near, 1) ** 3) ** 3, 0.0)
     weight[near < 0.001] = 1.0
-    extra, fit = np.ones(n), np.zeros(n)
+    spread = ((np.ptp(x, axis=1) * 0.001) ** 2)[:, None]
+    fits, left = np.zeros(x.shape), np.arange(len(x))
+    extra = np.ones(x.shape)
     for _ in range(robust + 1):
-        w = weight * extra[None, :]
-        total = w.sum(axis=1)
+        w = weight * extra[:, None, :]
+        total = w.sum(axis=2)
         total = np.where(total > 0, total, 1.0)
-        mx, my = (w * x).sum(axis=1) / total, (w * y).sum(axis=1) / total
-        sxx = (w * (x[None, :] - mx[:, None]) ** 2).sum(axis=1) / total
-        sxy = (w * (x[None, :] - mx[:, None]) * y[None, :]).sum(axis=1) / total
-        spread = (np.ptp(x) * 0.001) ** 2
+        mx, my = (w * x[:, None, :]).sum(axis=2) / total, (w * y[:, None, :]).sum(axis=2) / total
+        off = x[:, None, :] - mx[:, :, None]
+        sxx, sxy = (w * off**2).sum(axis=2) / total, (w * off * y[:, None, :]).sum(axis=2) / total
         slope = np.where(sxx > spread, sxy / np.where(sxx > spread, sxx, 1.0), 0.0)
         fit = my + slope * (x - mx)
+        fits[left] = fit
         residual = np.abs(y - fit)
-        middle = np.median(residual)
-        if middle < 1e-12:
+        middle = np.median(residual, axis=1)
+        go = middle >= 1e-12
+        if not go.any():
             break
-        extra = (1 - np.minimum(residual / (6 * middle), 1) ** 2) ** 2
-    return fit
+        left, x, y, weight, spread = left[go], x[go], y[go], weight[go], spread[go]
+        extra = (1 - np.minimum(residual[go] / (6 * middle[go, None]), 1) ** 2) ** 2
+    return fits
+
+
+#: Weights (features x samples x samples) that a worker fits at a time; a feature of more samples is fitted alone.
+MOST_WEIGHTS = 1_000_000
 
 
 def by_lowess(x: DataFrame, batches: DataFrame, layer: str = "value", log_transformed: bool = True, frac: float = 0.8) -> DataFrame:
-    """Take out a smooth trend over the batch codes, feature by feature. A feature has at most a value a sample."""
-    rows = x.join(F.broadcast(batches.select("obs_id", "code")), "obs_id")
+    """Take out a smooth trend over the batch codes, feature by feature. A feature has at most a value a sample.
+
+    Features come sorted, so that a worker fits many of one size at once.
+    """
+    rows = x.join(F.broadcast(batches.select("obs_id", "code")), "obs_id").where(F.col(layer).isNotNull())
 
     def fitted(own: pd.DataFrame) -> pd.DataFrame:
-        own = own[own[layer].notna()].sort_values(["code", "obs_id"])
-        own["_f"] = lowess(own["code"].to_numpy(float), own[layer].to_numpy(float), frac) if len(own) else 0.0
-        return own
+        names, code, value = own["var_id"].to_numpy(), own["code"].to_numpy(float), own[layer].to_numpy(float)
+        start = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+        size, fit = np.diff(np.r_[start, len(own)]), np.empty(len(own))
+        for n in np.unique(size):
+            at = start[size == n]
+            step = max(1, MOST_WEIGHTS // int(n * n))
+            for k in range(0, len(at), step):
+                places = at[k : k + step, None] + np.arange(n)
+                fit[places] = lowess_rows(code[places], value[places], frac)
+        return own.assign(_f=fit)
+
+    def of_batches(parts):
+        rest = None
+        for p in parts:
+            p = p[p[layer].notna()]
+            p = p if rest is None or not len(rest) else pd.concat([rest, p], ignore_index=True)
+            if not len(p):
+                continue
+            # The last feature of a batch may go on in the next one.
+            whole = int((p["var_id"] != p["var_id"].iloc[-1]).to_numpy().sum())
+            rest = p.iloc[whole:]
+            if whole:
+                yield fitted(p.iloc[:whole])
+        if rest is not None and len(rest):
+            yield fitted(rest)
 
     fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    return _corrected(rows.groupBy("var_id").applyInPandas(fitted, f"{fields}, _f double"), "_f", layer, log_transformed).drop("code")
+    ordered = rows.repartition("var_id").sortWithinPartitions("var_id", "code", "obs_id")
+    return _corrected(ordered.mapInPandas(of_batches, f"{fields}, _f double"), "_f", layer, log_transformed).drop("code")
 
 
 def combat(x: DataFrame, batches: DataFrame, layer: str = "value", rounds: int = 100, tolerance: float = 1e-4) -> DataFrame:
