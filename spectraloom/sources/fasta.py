@@ -50,6 +50,11 @@ def map_fasta(study: Study, modality: str, categories: list[str], column: str =
     assay, info = study[modality], study.tables["protein_info"]
     groups = assay.var.select(column).distinct()
     rows = groups.select(column, F.posexplode(F.split(column, ";")).alias("nth", "group")).select(column, "nth", F.explode(F.split("group", ",")).alias("accession")).join(info.select("accession", *(F.col(f"`{c}`") for c in categories)), "accession")
-    each = rows.groupBy(column, "nth").agg(*(F.array_join(F.array_sort(F.collect_set(f"`{c}`")), ",").alias(c) for c in categories))
-    whole = each.groupBy(column).agg(*(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", F.col(f"`{c}`").alias("v")))), lambda x: x.v), ";").alias(c) for c in categories))
+
+    def joined(c: str):
+        found = F.sort_array(F.collect_set(F.struct("nth", F.col(f"`{c}`").alias("v"))))
+        groups = F.array_distinct(F.transform(found, lambda x: x.nth))
+        return F.array_join(F.transform(groups, lambda n: F.array_join(F.transform(F.filter(found, lambda x: x.nth == n), lambda x: x.v), ",")), ";").alias(c)
+
+    whole = rows.groupBy(column).agg(*(joined(c) for c in categories))
     return study.with_assay(modality, assay.with_(var=assay.var.drop(*categories).join(whole, column, "left")))

@@ -8,9 +8,12 @@ import numpy as np
 import pandas as pd
 import pytest
 from helpers import near, study
+from pyspark.sql import functions as F
 
 from spectraloom.functions.ranges import wide_median
+from spectraloom.model import Assay, Study
 from spectraloom.operators import batch, fdr, inference, multivariate, normalise
+from spectraloom.sources import fasta
 
 
 def plan(df):
@@ -143,3 +146,13 @@ def test_trends_of_many_features_at_once(spark, monkeypatch):
         c, o, y, more = zip(*sorted(values), strict=True)
         fit = batch.lowess(np.array(c, float), np.array(y))
         assert all(near(got[v, name][0], a - f, 1e-9) and got[v, name][1] == m for name, a, f, m in zip(o, y, fit, more, strict=True))
+
+
+def test_fasta_categories_need_one_grouping(spark):
+    """Groups and their members were put together by two groupings of all rows."""
+    info = spark.createDataFrame([("P1", "g2", "m"), ("P2", "g1", None), ("P3", "g2", "h"), ("P4", None, "h")], "accession string, Gene string, Organism string")
+    var = spark.createDataFrame([("P1,P2,P3;P3", ), ("P4;P1,P9", ), ("P9", ), ("P2;P2", )], "protein_group string").withColumn("var_id", F.col("protein_group"))
+    s = Study({"protein": Assay(spark.createDataFrame([], "obs_id string, var_id string, value double"), var, None, "protein")}, spark.createDataFrame([], "obs_id string"), {"protein_info": info})
+    out = fasta.map_fasta(s, "protein", ["Gene", "Organism"])["protein"].var
+    assert {r.protein_group: (r.Gene, r.Organism) for r in out.collect()} == {"P1,P2,P3;P3": ("g1,g2;g2", "h,m;h"), "P4;P1,P9": (";g2", "h;m"), "P9": (None, None), "P2;P2": ("g1;g1", ";")}
+    assert plan(out).count("collect_set") and "collect_list" not in plan(out)
